@@ -21,6 +21,7 @@ only windows of segments with equal anchor hashes can be equal.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ GRAM = 100
 SHALLOW = 64
 GROUP = 1024
 CHUNK = 1 << 18
+#: Rows of a batch that a worker handles at once.
+SLICE = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -97,24 +100,26 @@ def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, digest = Anchors(length, gram), xxhash.xxh3_64_intdigest
         for b in batches:
-            times: dict[bytes, list] = {}
-            for key, doc, text in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                if key in times:  # a copy in this batch counts, and isn't cut again
-                    times[key][0] += 1
-                else:
-                    times[key] = [1, doc, text]
-            keys, docs, ns, hs, ds, at, lo, hi = ([] for _ in range(8))
-            for key, (n, doc, text) in times.items():
-                for h, a, s, e in cut(text):
-                    keys.append(key)
-                    docs.append(doc)
-                    ns.append(n)
-                    hs.append(h)
-                    ds.append(digest(text[s : e + length]))
-                    at.append(a)
-                    lo.append(s)
-                    hi.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), _signed(hs), _signed(ds), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "doc_id", "n", "h", "dig", "at", "lo", "hi"])
+            times = Counter(b.column("key").to_pylist())  # a copy in this batch counts, and isn't cut again
+            for k in range(0, len(b), SLICE):
+                part = b.slice(k, SLICE)
+                keys, docs, ns, hs, ds, at, lo, hi = ([] for _ in range(8))
+                for i, (key, doc) in enumerate(zip(part.column("key").to_pylist(), part.column("doc_id").to_pylist())):
+                    n = times.pop(key, 0)
+                    if not n:
+                        continue
+                    text = part.column("text")[i].as_buffer().to_pybytes()
+                    own = cut(text)
+                    keys += [key] * len(own)
+                    docs += [doc] * len(own)
+                    ns += [n] * len(own)
+                    for h, a, s, e in own:
+                        hs.append(h)
+                        ds.append(digest(text[s : e + length]))
+                        at.append(a)
+                        lo.append(s)
+                        hi.append(e)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), _signed(hs), _signed(ds), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "doc_id", "n", "h", "dig", "at", "lo", "hi"])
 
     return run
 
@@ -367,13 +372,15 @@ def cut_out(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[byt
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, removed = [], []
-            for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
-                left, runs = cut_out(text, [(s["lo"], s["hi"]) for s in spans or ()], length)
-                kept.append(left)
-                removed.append([{"start": lo, "end": hi} for lo, hi in runs])
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "n_bytes", "kept", "removed"])
+        for whole in batches:
+            for k in range(0, len(whole), SLICE):
+                b = whole.slice(k, SLICE)
+                kept, removed = [], []
+                for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
+                    left, runs = cut_out(text, [(s["lo"], s["hi"]) for s in spans or ()], length)
+                    kept.append(left)
+                    removed.append([{"start": lo, "end": hi} for lo, hi in runs])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "n_bytes", "kept", "removed"])
 
     return run
 

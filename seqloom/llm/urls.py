@@ -21,6 +21,8 @@ BLOCKED = [
     "https://spam-farm.test/links", "https://www.link-farm.test/a/b/c", "https://seo-spam.test/backlinks", "https://spam-offers.test/win-prize",
     "https://replica-watches.test/sale", "https://www.cheap-loans.test/apply", "https://payday-loans.test/fast", "https://crypto-doubler.test/invest",
     "https://torrent-hub.test/download", "https://www.warez-zone.test/crack", "https://free-keygen.test/serial", "https://malware-drop.test/setup.exe",
+    "https://ads-server.test/click", "https://www.ad-tracker.test/pixel", "https://track-clicks.test/ads", "https://m.banner-ads.test/track/7",
+    "https://win-casino.test/spin", "https://www.lotto-win.test/claim",
 ]
 ALLOWED = [
     "https://www.news.test/en/2024", "https://blog.science.test/post/12", "https://docs.library.test/guide", "https://wiki.history.test/page/88",
