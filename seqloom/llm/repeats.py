@@ -333,7 +333,9 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
     """(key, lo, hi): window starts lo..hi of the text of this key that also start elsewhere. keyed: (doc_id, key, text), key standing for the text."""
     segments = stage(keyed.where(F.octet_length("text") >= length).mapInArrow(_segments(length, gram), "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int"), "segments")
     anchors = segments.groupBy("h").agg(F.sum("n").alias("total"), (F.min("dig") != F.max("dig")).alias("many"))
-    seen = stage(segments.join(anchors.where("total > 1").select("h", "many"), "h"), "repeated-anchors")
+    # written first: a join straight on the sums could not split a hot anchor's segments
+    anchors = stage(anchors.where("total > 1").select("h", "many"), "anchors")
+    seen = stage(segments.join(anchors, "h"), "repeated-anchors")
     alike = seen.where("not many").select("key", "lo", "hi")
 
     mixed = seen.where("many")
@@ -341,15 +343,16 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
     full = mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", "hi")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("many"))
+    sizes = stage(sizes, "anchor-sizes")
     wanted = distinct.join(sizes, "h").groupBy("key", "doc_id").agg(F.collect_list(F.struct("h", "dig", "n", "lo", "hi", "at", "many")).alias("parts"))
-    wanted = wanted.withColumnRenamed("doc_id", "by")
+    wanted = stage(wanted.withColumnRenamed("doc_id", "by"), "wanted-segments")
     cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
     cut = stage(cut.select("key", "p.*", F.expr(f"substring(raw, p.lo + 1, p.hi - p.lo + {length})").alias("seg")), "segment-bytes")
     near = cut.where(F.col("many") <= GROUP).select("h", "dig", "n", "key", "lo", "at", "seg").repartition("h").sortWithinPartitions("h")
     compared = near.mapInArrow(_compare(length, gram), "key binary, lo int, hi int")
 
     hot = cut.where(F.col("many") > GROUP).mapInArrow(_windows(length), "h long, l int, dig long, n long, key binary, s int")
-    twice = hot.groupBy("h", "l", "dig").agg(F.sum("n").alias("times")).where("times > 1").select("h", "l", "dig")
+    twice = stage(hot.groupBy("h", "l", "dig").agg(F.sum("n").alias("times")).where("times > 1").select("h", "l", "dig"), "repeated-windows")
     counted = hot.where("n = 1").join(twice, ["h", "l", "dig"], "left_semi").select("key", F.col("s").alias("lo"), F.col("s").alias("hi"))
     return alike.unionByName(full).unionByName(compared).unionByName(counted)
 
@@ -398,7 +401,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     spans = repeat_spans(keyed.select("doc_id", "key", "text"), length)
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     joined = keyed.join(spans, "key", "left").select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
     kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     out = joined.mapInArrow(_cut(length), kind)
