@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ref
+from seqloom.llm.common import ref, stage
 
 #: Words in the automaton; a bound on its size, not on what is encoded.
 LEXICON = 50_000
@@ -44,56 +44,65 @@ class Vocabulary:
             got = json.load(f)
         back = {c: b for b, c in byte_chars().items()}
         as_bytes = lambda s: bytes(back[c] for c in s)
-        self.ids = {as_bytes(k): v for k, v in got["model"]["vocab"].items() if all(c in back for c in k)}
+        ids = {as_bytes(k): v for k, v in got["model"]["vocab"].items() if all(c in back for c in k)}
         pairs = [p if isinstance(p, list) else p.split(" ") for p in got["model"]["merges"]]
-        self.ranks = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
         self.special = {x["content"]: x["id"] for x in got["added_tokens"]}
-        top = max([*self.ids.values(), *self.special.values()]) + 1
+        top = max([*ids.values(), *self.special.values()]) + 1
         self.bytes = [b""] * top
-        for word, i in self.ids.items():
+        for word, i in ids.items():
             self.bytes[i] = word
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
+        self.single = [ids[bytes([b])] for b in range(256)]
+        self.ranks: dict[int, int] = {}  # of a pair of ids, as one number
+        self.merged: list[int] = []  # the id that a rank's pair becomes
+        for k, (x, y) in enumerate(pairs):
+            x, y = as_bytes(x), as_bytes(y)
+            self.ranks[ids[x] << 20 | ids[y]] = k
+            self.merged.append(ids[x + y])
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the leftmost pair of least rank is merged until none is left; long words by a heap."""
-        if len(word) > 48:
+        if len(word) > 200:
             return self._merge_long(word)
-        parts = [word[i : i + 1] for i in range(len(word))]
-        ranks, none = self.ranks, 1 << 30
-        while len(parts) > 1:
-            best, at = none, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]), none)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
+        get, merged, none = self.ranks.get, self.merged, 1 << 30
+        parts = [self.single[b] for b in word]
+        near = [get(x << 20 | y, none) for x, y in zip(parts, parts[1:])]
+        while near:
+            least = min(near)
+            if least == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+            i = near.index(least)
+            parts[i] = new = merged[least]
+            del parts[i + 1], near[i]
+            if i:
+                near[i - 1] = get(parts[i - 1] << 20 | new, none)
+            if i < len(near):
+                near[i] = get(new << 20 | parts[i + 1], none)
+        return parts
 
     def _merge_long(self, word: bytes) -> list[int]:
         from heapq import heapify, heappop, heappush
 
         n = len(word)
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        parts = [self.single[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(ranks[p], i, *p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in ranks]
+        get = self.ranks.get
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << 20 | parts[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b = heappop(heap)
-            j = after[i] if parts[i] is not None else n
+            r, i, a, b = heappop(heap)
+            j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            parts[i], parts[j] = self.merged[r], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := (parts[x], parts[y])) in ranks:
-                    heappush(heap, (ranks[p], x, *p))
-        return [self.ids[p] for p in parts if p is not None]
+                if x >= 0 and y < n and (r := get(parts[x] << 20 | parts[y])) is not None:
+                    heappush(heap, (r, x, parts[x], parts[y]))
+        return [p for p in parts if p >= 0]
 
 
 class Transducer:
@@ -211,40 +220,47 @@ def _pieces(special: list[str]):
     return pieces
 
 
+class _Words(dict):
+    """Ids of words as little-endian 32-bit integers; a word that is missing is found or merged."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int):
+        self.v, self.lexicon, self.memory = vocabulary, lexicon, memory
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.memory:
+            self.clear()
+        raw = word.encode()
+        ids = self.lexicon.find(raw)
+        ids = self.v.merge(raw) if ids is None else ids
+        self[word] = got = struct.pack(f"<{len(ids)}i", *ids)
+        return got
+
+
 class Codec:
     """encode() and decode() of whole texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int = MEMORY):
-        self.v, self.lexicon, self.memory, self.known = vocabulary, lexicon, memory, {}
+        self.v, self.words = vocabulary, _Words(vocabulary, lexicon, memory)
         self.pieces = _pieces(list(vocabulary.special))
 
-    def word(self, w: str) -> list[int]:
-        raw = w.encode()
-        ids = self.lexicon.find(raw)
-        return self.v.merge(raw) if ids is None else ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        out = []
         for special, words in self.pieces(text):
             if special is not None:
-                out.append(self.v.special[special])
-            for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    ids = known[w] = self.word(w)
-                out += ids
-        return out
+                out.append(struct.pack("<i", self.v.special[special]))
+            out.append(b"".join(map(self.words.__getitem__, words)))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        table = self.v.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", limit: int = LEXICON) -> list[str]:
-    """The most frequent words over all documents: counted by partition, then summed; ties by the word."""
+    """The most frequent words over all documents, limit of them at most: counted by partition, then summed; words of like frequency are taken or left together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, counts = _pieces(list(Vocabulary(path).special)), Counter()
@@ -263,8 +279,16 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", limit: in
         yield out()
 
     counted = docs.select(F.coalesce(ref(text_col), F.lit("")).alias("text")).mapInArrow(run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 and octet_length(word) <= 64").orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.select("word").collect()]
+    # classes of like frequency, the highest first, as many as fit: the driver gets no more than limit words
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 and octet_length(word) <= 64").withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
+    counted = stage(counted, "words")
+    left, least = limit, None
+    for r in counted.groupBy("class").agg(F.count("*").alias("k")).orderBy(F.desc("class")).collect():
+        left -= r.k
+        if left < 0:
+            break
+        least = r["class"]
+    return [] if least is None else [r.word for r in counted.where(F.col("class") >= least).select("word").collect()]
 
 
 def lexicon(words: list[str], path: str) -> bytes:
@@ -286,7 +310,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
-                rows = [codec.encode(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([codec.decode(r) for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+                rows = [np.frombuffer(codec.encode_bytes(t), "<i4") for t in part.column("text").to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([codec.decode(r.tolist()) for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
