@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,71 +20,128 @@ MEMORY = 400_000
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
 _WHITE = re.compile("[\x09-\x0d\x20]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
+_MARKS = ".,;:!?)]}-"
+#: Letters that Unicode's composed form (NFC) leaves as they are and that are one letter in lower case too.
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u0233]+")
+#: The tokenizer's pattern on lower-cased ASCII without white space.
+_ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class ChunkEncoder:
-    """Ids of whole texts, word by word, with a memory of words.
+    """The library's ids of whole texts, word by word, with a memory of words and of their pieces.
 
-    For tokenizers that drop white space and join nothing across it (BPE with word
-    ends): encoding a text is then encoding its white-space-free pieces one after another.
+    For tokenizers that drop white space and join nothing across it (BPE with word ends):
+    a text's ids are those of its white-space-free words one after another. A new word of
+    plain letters, digits and marks is cut into the pieces that the tokenizer's own pattern
+    gives, which the library encodes once, many at a time: each ends in one token with the
+    word-end suffix. Any other word goes to the library whole.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        split = [_WHITE.split(t) for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        # the same model, for pieces that are normalised and cut already
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        for k in range(0, len(new), 200):
+            part = new[k : k + 200]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise RuntimeError("pieces don't end in one word end each: the tokenizer isn't of the kind that this class is for")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, (4 * ends).tolist()):
+                self.pieces[p] = raw[at:end]
+                at = end
+
+    def _learn(self, words: set[str]) -> None:
+        known, words_known = self.pieces, self.words
+        if len(known) > self.memory:
+            known.clear()
+        plain, cut, whole = [], [], []
+        letters = _LETTERS.fullmatch
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if letters(core):
+                plain.append((w, core.lower(), w[len(core) :]))
+            elif w.isascii() and "<|" not in w:
+                cut.append((w, _ASCII_PIECE.findall(w.lower())))
+            else:
+                whole.append(w)
+        new = {p for _, low, marks in plain for p in (low, marks)}
+        new.update(*[own for _, own in cut])
+        new.discard("")
+        self._encode_pieces(list(new.difference(known)))
+        known[""] = b""
+        for w, low, marks in plain:
+            words_known[w] = known[low] + known[marks] if marks else known[low]
+        for w, own in cut:
+            words_known[w] = b"".join([known[p] for p in own])
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            words_known[w] = np.array(e.ids, np.int32).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # str.split() cuts at what the tokenizer takes for white space, and at four control characters
+        split = [_WHITE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
+        known = self.words
+        every = set().union(*split)
+        new = every.difference(known)
         if len(known) + len(new) > self.memory:
             known.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
-
-
-def encode_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, tokens array<int>): the library's ids of each whole text, then end_id. Null text: as empty. Repeated rows stay."""
+            new = every
+        self._learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+
+
+def encode_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, ordered: bool = False) -> DataFrame:
+    """(doc_id, tokens array<int>, part, row): the library's ids of each whole text, then end_id. Null text: as empty. Repeated rows stay.
+
+    ordered: texts are first dealt out and sorted by ascending doc_id, null ids first, so
+    that part k holds lower ids than part k + 1 and row ascends with them; ties keep their
+    order in the input and spread over parts.
+    """
+    texts = docs.select(ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text"))
+    if ordered:
+        texts = texts.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
+    texts = texts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    last = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ChunkEncoder(path)
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
-                rows = [np.array(x, np.int32) for x in encode(part.column("text").to_pylist())]
-                rows = [np.append(x, np.int32(end_id)) for x in rows] if end_id is not None else rows
+                rows = [np.concatenate((x, last)) for x in encode(part.column("text").to_pylist())]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32))), part.column("part"), part.column("row")], ["doc_id", "tokens", "part", "row"])
 
-    return docs.select(ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, tokens array<int>")
+    return texts.mapInArrow(run, "doc_id long, tokens array<int>, part int, row long")
 
 
-def write_tokens(tokens: DataFrame, path: str) -> None:
-    """Write (doc_id, tokens) in ascending doc_id order, null ids first: part k holds lower ids than part k + 1.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> None:
+    """Write the ids of docs in ascending doc_id order to Parquet files.
 
     The files are Parquet format 2: ids bit-packed as deltas (DELTA_BINARY_PACKED), small
     row groups and pages, with column and offset indexes, so that a reader of some ids,
     or of metadata only (n_tokens), skips the rest. Spark's writer commits the files, so a
     lost task leaves nothing behind.
     """
-    ordered = tokens.withColumn("n_tokens", F.size("tokens").cast("long")).withColumn("place", F.monotonically_increasing_id())
-    ordered = ordered.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    writer = ordered.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
-    writer = writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", "1000").option("compression", "zstd")
-    writer.parquet(path)
+    tokens = encode_tokens(docs, tokenizer, id_col, text_col, end_id, ordered=True)
+    writer = tokens.select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "part", "row").write
+    writer = writer.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").option("compression", "zstd")
+    writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", "1000").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -124,6 +181,6 @@ def token_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     An empty table gives files without rows and an empty result.
     """
     spark, out = docs.sparkSession, new_path(docs.sparkSession, "tokens")
-    write_tokens(encode_tokens(docs, path, id_col, text_col), out)
+    write_tokens(docs, out, path, id_col, text_col)
     read = read_tokens(spark, out)
     return token_digests(read).join(token_starts(read), "row").select("doc_id", "start", "n_tokens", "ids_crc32")
