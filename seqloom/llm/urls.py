@@ -12,27 +12,12 @@ from seqloom.llm.common import ref
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DIMS = 1 << 14
 SIZES = (3, 4, 5)
-#: The labelled table: 1 is to be blocked.
-BLOCKED = [
-    "https://cheap-pills.test/buy", "https://www.pills-online.test/order/1", "https://best-pills.test/en/2", "http://m.pharma-discount.test/pills",
-    "https://casino-royal.test/play", "https://www.free-casino.test/slots/9", "https://online-casino.test/bonus", "https://poker-bets.test/win",
-    "https://free-bets.test/today", "https://m.sports-bets.test/odds/4", "https://www.bets-now.test/", "https://betting-tips.test/free",
-    "https://adult-x.test/video", "https://www.adult-cams.test/live", "https://xxx-tube.test/watch/3", "https://m.adult-chat.test/join",
-    "https://spam-farm.test/links", "https://www.link-farm.test/a/b/c", "https://seo-spam.test/backlinks", "https://spam-offers.test/win-prize",
-    "https://replica-watches.test/sale", "https://www.cheap-loans.test/apply", "https://payday-loans.test/fast", "https://crypto-doubler.test/invest",
-    "https://torrent-hub.test/download", "https://www.warez-zone.test/crack", "https://free-keygen.test/serial", "https://malware-drop.test/setup.exe",
-    "https://ads-server.test/click", "https://www.ad-tracker.test/pixel", "https://track-clicks.test/ads", "https://m.banner-ads.test/track/7",
-    "https://win-casino.test/spin", "https://www.lotto-win.test/claim",
-]
-ALLOWED = [
-    "https://www.news.test/en/2024", "https://blog.science.test/post/12", "https://docs.library.test/guide", "https://wiki.history.test/page/88",
-    "https://m.weather.test/today", "https://www.museum.test/visit", "https://school.test/courses/3", "https://university.test/research/5",
-    "https://blog.cooking.test/recipes/7", "https://www.travel.test/en/41.html", "https://forum.garden.test/topic/9", "https://city.test/de/news",
-    "https://www.theater.test/fr/438", "https://music.test/es/249", "https://blog.books.test/review/61", "https://health.test/advice",
-    "https://www.therti.test/en/196/", "https://m.theron.test/en/550", "https://blog.tionsh.test/fr/425/", "https://ththre.test/es/41",
-    "https://www.ththen.test/de/12", "https://open-data.test/sets", "https://www.co-op.test/shop", "https://hand-made.test/craft/3",
-    "https://blog.thher.test/en/25", "https://m.erandst.test/en/860", "https://www.ouelle.test/fr/723", "https://cioneza.test/es/380",
-]
+#: The labelled table: every theme, with its kind's words before or after it, in shapes that both kinds share; the first kind is to be blocked.
+BLOCKED = ["pills", "pharma", "casino", "slots", "bets", "poker", "lotto", "adult", "xxx", "cams", "spam", "ads", "track", "loans", "torrent", "keygen", "warez", "malware", "replica", "crypto"]
+BLOCKED_NAMES = ["cheap-{}", "free-{}", "{}-farm", "{}-win", "{}-x"]
+ALLOWED = ["news", "science", "library", "history", "weather", "museum", "school", "cooking", "travel", "garden", "theater", "music", "books", "health", "college", "rothen", "ouelle", "cioneza", "einauch", "tionen"]
+ALLOWED_NAMES = ["{}", "the{}", "{}s", "open-{}", "{}-guide"]
+SHAPES = ["https://www.{}.test/en/20", "https://blog.{}.test/fr/7.html", "http://m.{}.test/de/12?ref=x", "https://{}.test/es/41/"]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -87,7 +72,12 @@ def plain_parts(url: str | None) -> tuple[str, str]:
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    return [(*plain_parts(u), y) for y, own in ((1, BLOCKED), (0, ALLOWED)) for u in own]
+    """The table (host, path, label): 1 is to be blocked."""
+    out = []
+    for y, themes, names in ((1, BLOCKED, BLOCKED_NAMES), (0, ALLOWED, ALLOWED_NAMES)):
+        for i, theme in enumerate(themes):
+            out += [(*plain_parts(SHAPES[(i + j) % len(SHAPES)].format(name.format(theme))), y) for j, name in enumerate(names)]
+    return out
 
 
 def score_of(model: tuple[np.ndarray, float], host: str, path: str) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import new_path, ref
+from seqloom.llm.common import new_path, ref, stage
 
 #: Payloads above this are sent in chunks of it; record blocks above SEGMENT are segmented.
 CHUNK = 8 << 10
@@ -103,9 +104,13 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK, segment: int = SEGMENT, per_file: int = PER_FILE) -> None:
-    """Write archives: of rows with equal payloads that with the smallest id (nulls last; then the first row) is a response, the others revisit it."""
+    """Write gzipped archives: of rows with equal payloads that with the smallest id (nulls last; then the first row) is a response, the others revisit it."""
     rows = pages.select(ref(id_col).cast("long").alias("page_id"), ref(url_col).cast("string").alias("url"), F.coalesce(ref(html_col), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha1("html"))
-    first = rows.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("void"), "page_id", "row")).alias("f")).select("digest", F.col("f.row").alias("first_row"), F.col("f.page_id").alias("first_page"))
+    rows = stage(rows, "pages")  # from here on a row keeps its number, whatever is computed again
+    first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("void"), "page_id", "row")).alias("f"))
+    # payloads that occur once are left out, and the rest is written first: its size decides how Spark joins it
+    first = stage(first.where("n > 1").select("digest", F.col("f.row").alias("first_row"), F.col("f.page_id").alias("first_page")), "repeated-payloads")
+    placed = rows.join(first, "digest", "left").select("row", "page_id", "url", "html", F.coalesce("first_row", "row").alias("first_row"), "first_page")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,14 +122,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = rows.join(first, "digest").mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", str(per_file)).text(path)
+    records = placed.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.option("lineSep", END).option("maxRecordsPerFile", str(per_file)).option("compression", "gzip").text(path)
 
 
 def _read(segments: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content").to_pylist():
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = []
                 for head, block in split_records(data):
                     if ("warc-segment-number" in head) != segments:
