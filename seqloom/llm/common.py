@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +36,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Text that a worker encodes at once, longer rows aside.
+BATCH_BYTES = 16 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes of text each, or a single row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def take_lists(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at index, one after another, and their offsets; lists lie in flat between offsets."""
+    sizes = offsets[index + 1] - offsets[index]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return flat[np.arange(ends[-1]) + np.repeat(offsets[index] - ends[:-1], sizes)], ends
+
+
+def kept_in_worker(key, make):
+    """make(), once for each key in a Python worker: what it gives stays for the worker's later tasks."""
+    store = sys.modules.setdefault("_seqloom_kept", types.ModuleType("_seqloom_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def ref(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -8,101 +8,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import new_path, ref
+from seqloom.llm.common import by_bytes, kept_in_worker, new_path, ref, take_lists
 
 END_ID = 1
-#: Words whose ids are kept, at most; then they are forgotten and met anew.
-MEMORY = 400_000
 #: Parquet: rows of about this many bytes make a row group, and a page holds this many bytes.
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
-_WHITE = re.compile("[\x09-\x0d\x20]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?)]}-"
 #: Letters that Unicode's composed form (NFC) leaves as they are and that are one letter in lower case too.
-_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u0233]+")
+_LETTERS = ("^[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u0233]+$")
 #: The tokenizer's pattern on lower-cased ASCII without white space.
 _ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-class ChunkEncoder:
-    """The library's ids of whole texts, word by word, with a memory of words and of their pieces.
+class BatchEncoder:
+    """The library's ids of whole texts, a batch at a time, each distinct piece of a word encoded once.
 
     For tokenizers that drop white space and join nothing across it (BPE with word ends):
-    a text's ids are those of its white-space-free words one after another. A new word of
-    plain letters, digits and marks is cut into the pieces that the tokenizer's own pattern
-    gives, which the library encodes once, many at a time: each ends in one token with the
-    word-end suffix. Any other word goes to the library whole.
+    a text's ids are those of its words one after another. Arrow splits the texts and finds
+    the distinct words. One that is letters and then marks, and any other plain ASCII word, is cut into the
+    pieces that the tokenizer's own pattern gives; the library encodes many pieces at once,
+    each ending in one token with the word-end suffix. Any other word goes to the library whole.
+    Nothing is kept from batch to batch.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         # the same model, for pieces that are normalised and cut already
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
-    def _encode_pieces(self, new: list[str]) -> None:
-        for k in range(0, len(new), 200):
-            part = new[k : k + 200]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and their offsets."""
+        flat = []
+        for k in range(0, len(pieces), 200):
+            part = pieces[k : k + 200]
             ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
+            if int(self.ends[ids].sum()) != len(part):
                 raise RuntimeError("pieces don't end in one word end each: the tokenizer isn't of the kind that this class is for")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(part, (4 * ends).tolist()):
-                self.pieces[p] = raw[at:end]
-                at = end
-
-    def _learn(self, words: set[str]) -> None:
-        known, words_known = self.pieces, self.words
-        if len(known) > self.memory:
-            known.clear()
-        plain, cut, whole = [], [], []
-        letters = _LETTERS.fullmatch
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if letters(core):
-                plain.append((w, core.lower(), w[len(core) :]))
-            elif w.isascii() and "<|" not in w:
-                cut.append((w, _ASCII_PIECE.findall(w.lower())))
-            else:
-                whole.append(w)
-        new = {p for _, low, marks in plain for p in (low, marks)}
-        new.update(*[own for _, own in cut])
-        new.discard("")
-        self._encode_pieces(list(new.difference(known)))
-        known[""] = b""
-        for w, low, marks in plain:
-            words_known[w] = known[low] + known[marks] if marks else known[low]
-        for w, own in cut:
-            words_known[w] = b"".join([known[p] for p in own])
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            words_known[w] = np.array(e.ids, np.int32).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # str.split() cuts at what the tokenizer takes for white space, and at four control characters
-        split = [_WHITE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        known = self.words
-        every = set().union(*split)
-        new = every.difference(known)
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = every
-        self._learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+            flat.append(ids)
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        return flat, np.concatenate(([0], np.flatnonzero(self.ends[flat]) + 1))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and their offsets."""
+        cores = pc.utf8_rtrim(words, characters=_MARKS)
+        lettered = pc.match_substring_regex(cores, _LETTERS).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(cores.filter(pa.array(lettered))).dictionary_encode()
+        raw, sizes = words.filter(pa.array(lettered)), pc.utf8_length(cores.filter(pa.array(lettered))).to_numpy()
+        whole_sizes = pc.utf8_length(raw).to_numpy()
+        tails = np.flatnonzero(whole_sizes > sizes)  # few: words with marks after them
+        tail = [w[n:] for w, n in zip(raw.take(pa.array(tails)).to_pylist(), sizes[tails].tolist())]
+        pieces = low.dictionary.to_pylist()
+        number = {p: k for k, p in enumerate(pieces)}
+        odd, alone = [], []
+        for w in words.filter(pa.array(~lettered)).to_pylist():
+            plain = w.isascii() and "<|" not in w
+            odd.append(_ASCII_PIECE.findall(w.lower()) if plain else None)
+            if not plain:
+                alone.append(w)
+        for p in {*tail, *(p for own in odd if own for p in own)}:
+            number.setdefault(p, len(number))
+        flat, offsets = self._pieces(list(number))
+        extra = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        base = len(number)
+        offsets = np.concatenate((offsets, offsets[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64))) if extra else offsets
+        flat = np.concatenate((flat, *extra)) if extra else flat
+        # pieces of each word
+        counts = np.ones(len(words), np.int64)
+        at_lettered, at_odd = np.flatnonzero(lettered), np.flatnonzero(~lettered)
+        counts[at_lettered[tails]] = 2
+        counts[at_odd] = [1 if own is None else len(own) for own in odd]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        own = np.zeros(ends[-1], np.int64)
+        own[ends[at_lettered]] = low.indices.to_numpy()
+        own[ends[at_lettered[tails]] + 1] = [number[p] for p in tail]
+        k = base
+        for at, cut in zip(ends[at_odd].tolist(), odd):
+            if cut is None:
+                own[at] = k
+                k += 1
+            elif cut:
+                own[at : at + len(cut)] = [number[p] for p in cut]
+        got, piece_ends = take_lists(flat, offsets, own)
+        return got, piece_ends[ends]
+
+    def __call__(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
+        """A list of ids for each text, with end_id after it."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        flat, offsets = self._words(coded.dictionary)
+        ids, ends = take_lists(flat, offsets, coded.indices.to_numpy().astype(np.int64))
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if end_id is not None:
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def encode_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, ordered: bool = False) -> DataFrame:
@@ -116,16 +128,12 @@ def encode_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     if ordered:
         texts = texts.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     texts = texts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    last = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(path)
+        encode = kept_in_worker(("words", path), lambda: BatchEncoder(path))
         for b in batches:
-            for k in range(0, len(b), 256):
-                part = b.slice(k, 256)
-                rows = [np.concatenate((x, last)) for x in encode(part.column("text").to_pylist())]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32))), part.column("part"), part.column("row")], ["doc_id", "tokens", "part", "row"])
+            for part in by_bytes(b, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), encode(part.column("text"), end_id), part.column("part"), part.column("row")], ["doc_id", "tokens", "part", "row"])
 
     return texts.mapInArrow(run, "doc_id long, tokens array<int>, part int, row long")
 
