@@ -17,15 +17,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ref, stage
+from seqloom.llm.common import by_bytes, kept_in_worker, ref, stage, take_lists
 
 #: Words in the automaton; a bound on its size, not on what is encoded.
 LEXICON = 50_000
-#: Words whose ids a worker remembers, at most.
-MEMORY = 300_000
+#: No rank.
+NEVER = 1 << 30
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -60,12 +61,20 @@ class Vocabulary:
             x, y = as_bytes(x), as_bytes(y)
             self.ranks[ids[x] << 20 | ids[y]] = k
             self.merged.append(ids[x + y])
+        self.single_ids, self.merged_ids = np.array(self.single, np.int32), np.array(self.merged, np.int32)
+        keys = np.array(list(self.ranks), np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int32)[order]
+        self.byte_ranks = np.array([[self.ranks.get(x << 20 | y, NEVER) for y in self.single] for x in self.single], np.int32)
+        sizes = [len(w) for w in self.bytes]
+        self.byte_ends = np.concatenate(([0], np.cumsum(sizes)))
+        self.byte_data = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the leftmost pair of least rank is merged until none is left; long words by a heap."""
         if len(word) > 200:
             return self._merge_long(word)
-        get, merged, none = self.ranks.get, self.merged, 1 << 30
+        get, merged, none = self.ranks.get, self.merged, NEVER
         parts = [self.single[b] for b in word]
         near = [get(x << 20 | y, none) for x, y in zip(parts, parts[1:])]
         while near:
@@ -81,6 +90,73 @@ class Vocabulary:
                 near[i] = get(new << 20 | parts[i + 1], none)
         return parts
 
+    def merge_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words at once, the bytes of word i from offsets[i] on: their ids one after another, and offsets of those.
+
+        Words of like length are laid out as rows; a step merges the leftmost pair of
+        least rank in every row that has one. Only pairs beside a merge are looked up again.
+        """
+        sizes = offsets[1:] - offsets[:-1]
+        counts, rows, order = np.zeros(len(sizes), np.int64), [], []
+        least = 0
+        for most in (4, 8, 12, 16, 24, 32, 64):
+            for own in np.split(of := np.flatnonzero((sizes > least) & (sizes <= most)), range(65536, len(of), 65536)):
+                if len(own):
+                    ids, n = self._merge_rows(data, offsets[own], sizes[own], most)
+                    counts[own] = n
+                    rows.append(ids)
+                    order.append(own)
+            least = most
+        for i in np.flatnonzero(sizes > least).tolist():
+            ids = np.array(self.merge(data[offsets[i] : offsets[i + 1]].tobytes()), np.int32)
+            counts[i] = len(ids)
+            rows.append(ids)
+            order.append(np.array([i]))
+        if not rows:
+            return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)
+        order = np.concatenate(order)
+        at = np.empty(len(sizes), np.int64)  # of each word among the rows
+        at[order] = np.arange(len(order))
+        empty = sizes == 0
+        at[empty] = len(order)
+        ends = np.concatenate(([0], np.cumsum(counts[order])))
+        return take_lists(np.concatenate(rows), np.append(ends, ends[-1]), at)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(starts)
+        col = np.arange(width)
+        inside = col < sizes[:, None]
+        raw = data[np.where(inside, starts[:, None] + col, 0)]
+        ids = np.where(inside, self.single_ids[raw], -1)
+        rank = np.full((n, width), NEVER, np.int32)
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_ranks[raw[:, :-1], raw[:, 1:]], NEVER)
+        after, before = np.tile((col + 1).astype(np.int16), (n, 1)), np.tile((col - 1).astype(np.int16), (n, 1))
+        live = np.arange(n)
+        while len(live):
+            own = rank[live]
+            j = own.argmin(axis=1)
+            r = own[np.arange(len(live)), j]
+            more = r < NEVER
+            live, j, r = live[more], j[more], r[more]
+            k = after[live, j]
+            next_, last = after[live, k], before[live, j]
+            new = self.merged_ids[r]
+            ids[live, j], ids[live, k], rank[live, k], after[live, j] = new, -1, NEVER, next_
+            has = next_ < sizes[live]
+            right = np.full(len(live), NEVER, np.int32)
+            right[has] = self._rank(new[has], ids[live[has], next_[has]])
+            rank[live, j] = right
+            before[live[has], next_[has]] = j[has]
+            has = last >= 0
+            rank[live[has], last[has]] = self._rank(ids[live[has], last[has]], new[has])
+        left = ids >= 0
+        return ids[left].astype(np.int32), left.sum(axis=1)
+
     def _merge_long(self, word: bytes) -> list[int]:
         from heapq import heapify, heappop, heappush
 
@@ -199,6 +275,28 @@ class Transducer:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist() if self.final[s] else None
 
 
+    def find_many(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of many words at once, -1 for those that it lacks: a step follows the next byte of every word still on a path."""
+        first, final, label, target, skipped = (np.asarray(x) for x in (self.first, self.final, self.label, self.target, self.skipped))
+        arcs = np.repeat(np.arange(len(final), dtype=np.int64), np.diff(first)) << 8 | label
+        n = len(offsets) - 1
+        out = np.full(n, -1, np.int64)
+        live, at, state, number = np.arange(n), offsets[:-1].copy(), np.full(n, self.root, np.int64), np.zeros(n, np.int64)
+        while len(live):
+            done = at == offsets[live + 1]
+            ended = done & (final[state] > 0)
+            out[live[ended]] = number[ended]
+            live, at, state, number = live[~done], at[~done], state[~done], number[~done]
+            if not len(live) or not len(arcs):
+                break
+            key = state << 8 | data[at]
+            arc = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+            on = arcs[arc] == key
+            live, arc = live[on], arc[on]
+            at, state, number = at[on] + 1, target[arc].astype(np.int64), number[on] + skipped[arc]
+        return out
+
+
 def _pieces(special: list[str]):
     """Splits a text into words, special strings apart."""
     import regex
@@ -220,44 +318,63 @@ def _pieces(special: list[str]):
     return pieces
 
 
-class _Words(dict):
-    """Ids of words as little-endian 32-bit integers; a word that is missing is found or merged."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int):
-        self.v, self.lexicon, self.memory = vocabulary, lexicon, memory
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.memory:
-            self.clear()
-        raw = word.encode()
-        ids = self.lexicon.find(raw)
-        ids = self.v.merge(raw) if ids is None else ids
-        self[word] = got = struct.pack(f"<{len(ids)}i", *ids)
-        return got
-
-
 class Codec:
     """encode() and decode() of whole texts."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, memory: int = MEMORY):
-        self.v, self.words = vocabulary, _Words(vocabulary, lexicon, memory)
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
+        self.v, self.lexicon = vocabulary, lexicon
         self.pieces = _pieces(list(vocabulary.special))
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        out = []
-        for special, words in self.pieces(text):
-            if special is not None:
-                out.append(struct.pack("<i", self.v.special[special]))
-            out.append(b"".join(map(self.words.__getitem__, words)))
-        return b"".join(out)
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and their offsets: from the lexicon, or merged."""
+        raw = words.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        number = self.lexicon.find_many(data, offsets)
+        known, rest = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+        own, ends = take_lists(data, offsets, rest)
+        merged, merged_ends = self.v.merge_many(own, ends)
+        table = np.asarray(self.lexicon.ids)
+        flat, ends = np.concatenate((table, merged)), np.concatenate((np.asarray(self.lexicon.starts, np.int64), merged_ends[1:] + len(table)))
+        place = np.empty(len(words), np.int64)
+        place[known], place[rest] = number[known], len(self.lexicon.starts) - 1 + np.arange(len(rest))
+        for special, i in self.v.special.items():  # such a word is nothing but the special string
+            at = pc.index(words, special).as_py()
+            if at >= 0:
+                place[at] = len(ends) - 1
+                flat, ends = np.append(flat, np.int32(i)), np.append(ends, len(flat) + 1)
+        return take_lists(flat, ends, place)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and their offsets; each distinct word is encoded once."""
+        words: list[str] = []
+        bounds = [0]
+        for text in texts:
+            for special, own in self.pieces(text):
+                if special is not None:
+                    words.append(special)
+                words += own
+            bounds.append(len(words))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        ids, ends = take_lists(*self.encode_words(coded.dictionary), coded.indices.to_numpy().astype(np.int64))
+        return ids.astype(np.int32), ends[np.array(bounds)]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of lists of ids that lie between bounds."""
+        data, ends = take_lists(self.v.byte_data, self.v.byte_ends, ids.astype(np.int64))
+        out = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(ends[bounds].astype(np.int64)), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # some id ends within a character
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+        return out.cast(pa.string())
+
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", limit: int = LEXICON) -> list[str]:
     """The most frequent words over all documents, limit of them at most: counted by partition, then summed; words of like frequency are taken or left together."""
@@ -306,13 +423,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     image = spark.sparkContext.broadcast(lexicon(frequent_words(docs, path, text_col, limit), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(path), Transducer.mapped(image.value))
+        codec = Codec(kept_in_worker(("bytes", path), lambda: Vocabulary(path)), Transducer.mapped(image.value))
         for b in batches:
-            for k in range(0, len(b), 256):
-                part = b.slice(k, 256)
-                rows = [np.frombuffer(codec.encode_bytes(t), "<i4") for t in part.column("text").to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([codec.decode(r.tolist()) for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+            for part in by_bytes(b, "text"):
+                ids, bounds = codec.encode_batch(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), codec.decode_batch(ids, bounds)], ["doc_id", "ids", "decoded"])
 
     return docs.select(ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -340,11 +341,11 @@ def library(name):
 @given(st.lists(st.text(max_size=80), max_size=4))
 def test_chunk_encoder_is_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts] + TEXTS
-    assert [x.tolist() for x in CHUNKS(texts)] == [e.ids for e in WORDS.encode_batch(texts, add_special_tokens=False)]
+    assert CHUNKS(pa.array(texts, pa.string())).to_pylist() == [e.ids for e in WORDS.encode_batch(texts, add_special_tokens=False)]
 
 
 WORDS = library("word_bpe_49k.json")
-CHUNKS = tokens.ChunkEncoder(vocabulary("word_bpe_49k.json"), memory=500)
+CHUNKS = tokens.BatchEncoder(vocabulary("word_bpe_49k.json"))
 
 
 def test_token_files(spark, tmp_path):
@@ -380,6 +381,9 @@ def test_transducer(found, other):
     pairs = [(w.encode(), list(w.encode())) for w in found]
     t = bpe.Transducer.mapped(bpe.Transducer.compile(pairs))
     assert all(t.find(w) == ids for w, ids in pairs)
+    words = [w for w, _ in pairs] + [other.encode()]
+    at = t.find_many(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    assert [None if k < 0 else t.ids[t.starts[k] : t.starts[k + 1]].tolist() for k in at.tolist()] == [t.find(w) for w in words]
     assert t.find(other.encode()) == (list(other.encode()) if other in found else None)
 
 
@@ -391,8 +395,12 @@ def test_transducer_is_minimal():
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=120))
 def test_codec_is_the_library(text):
-    codec = bpe.Codec(VOCABULARY, bpe.Transducer.mapped(bpe.lexicon([" the", "Hello"], vocabulary("byte_bpe_50k.json"))), memory=7)
-    for t in [text.encode("utf-8", "ignore").decode(), *TEXTS]:
+    codec = bpe.Codec(VOCABULARY, bpe.Transducer.mapped(bpe.lexicon([" the", "Hello"], vocabulary("byte_bpe_50k.json"))))
+    texts = [text.encode("utf-8", "ignore").decode(), *TEXTS, "q" * 70 + " " + "the" * 100]
+    ids, bounds = codec.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [BYTES.encode(t, add_special_tokens=False).ids for t in texts]
+    assert codec.decode_batch(ids, bounds).to_pylist() == texts
+    for t in texts:
         ids = BYTES.encode(t, add_special_tokens=False).ids
         assert codec.encode(t) == ids
         assert codec.decode(ids) == BYTES.decode(ids, skip_special_tokens=False)
