@@ -359,8 +359,9 @@ def _op_strings(seq: Column, start: Column, cigar: Column, moves: str) -> Column
 
 def aligned_strings(query: Column, target: Column, result: Column) -> Column:
     """Struct of both aligned strings; an error without traceback."""
-    need = F.when(result["cigar"].isNull(), F.raise_error(F.lit("alignment has no traceback")).cast("int")).otherwise(F.lit(0))
-    return F.struct(_op_strings(query, result["query_start"] + need, result["cigar"], "I").alias("query"), _op_strings(target, result["target_start"] + need, result["cigar"], "D").alias("target"))
+    lacks = result["score"].isNotNull() & result["cigar"].isNull()
+    cigar = F.when(lacks, F.raise_error(F.lit("alignment has no traceback")).cast("array<struct<op: string, len: int>>")).otherwise(result["cigar"])
+    return F.struct(_op_strings(query, result["query_start"], cigar, "I").alias("query"), _op_strings(target, result["target_start"], cigar, "D").alias("target"))
 
 
 def alignment_diagram(query: Column, target: Column, result: Column) -> Column:

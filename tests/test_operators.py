@@ -298,7 +298,7 @@ def test_fastq(spark, tmp_path):
         with pytest.raises(FormatError):
             list(fastq.parse_bytes(bad.encode()))
         with pytest.raises(PySparkException):
-            listed(fastq.read_fastq(spark, put(tmp_path, bad), "dna"))
+            listed(fastq.read_fastq(spark, put(tmp_path, bad, "bad"), "dna"))
     fastq.write_fastq(f"file://{tmp_path}/out", got, "J", single=True)
     assert next((tmp_path / "out").glob("part*")).read_text() == "@seq1 some desc\nACGT\n+\nJJJJ\n@seq2\nA\n+\nJ\n"
     for bad in ("", "ab", "\n", "é"):
