@@ -25,6 +25,8 @@ from seqloom.llm.common import by_bytes, kept_in_worker, ref, stage, take_lists
 
 #: Words in the automaton; a bound on its size, not on what is encoded.
 LEXICON = 50_000
+#: Text that a worker encodes at once, longer rows aside.
+BATCH_BYTES = 8 << 20
 #: No rank.
 NEVER = 1 << 30
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -348,14 +350,18 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and their offsets; each distinct word is encoded once."""
         words: list[str] = []
-        bounds = [0]
+        parts, bounds, before = [], [0], 0
         for text in texts:
             for special, own in self.pieces(text):
                 if special is not None:
                     words.append(special)
                 words += own
-            bounds.append(len(words))
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
+            bounds.append(before + len(words))
+            if len(words) > 100_000:  # Arrow holds words in a tenth of the memory
+                parts.append(pa.array(words, pa.large_string()))
+                before, words = bounds[-1], []
+        coded = pa.concat_arrays([*parts, pa.array(words, pa.large_string())]).dictionary_encode()
+        del parts, words
         ids, ends = take_lists(*self.encode_words(coded.dictionary), coded.indices.to_numpy().astype(np.int64))
         return ids.astype(np.int32), ends[np.array(bounds)]
 
@@ -425,7 +431,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(kept_in_worker(("bytes", path), lambda: Vocabulary(path)), Transducer.mapped(image.value))
         for b in batches:
-            for part in by_bytes(b, "text"):
+            for part in by_bytes(b, "text", BATCH_BYTES):
                 ids, bounds = codec.encode_batch(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), codec.decode_batch(ids, bounds)], ["doc_id", "ids", "decoded"])
 
