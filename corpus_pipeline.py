@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, quality, repeats, simhash
-from seqloom.llm.common import stage
+from seqloom.llm.common import fresh, ref, stage
 from seqloom.llm.vocabularies import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality(docs, name="_quality").where("_quality.kept").select(*docs.columns)
+    name = fresh(docs, "quality")
+    return quality.quality(docs, name=name).where(ref(name)["kept"]).select(*map(ref, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +34,16 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     def as_text(kept):
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    found = found.select("row", as_text("kept").alias("text")).select(*[F.col(f"row.`{c}`").alias(c) for c in others], "text")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = found.select("row", as_text("kept").alias("text"))
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def leak_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    name = fresh(docs, "leaks")
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name=name)
+    return found.where(F.size(ref(name)) == 0).select(*map(ref, docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ SIMILAR = 0.8
 RADIUS = 23
 #: Characters of items taken at once; more items are taken in several rounds over the documents.
 ITEM_CHARS = 8 << 20
+#: Words whose windows are fingerprinted at once.
+RUN = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
@@ -118,7 +120,7 @@ class Items:
         words = words_of(text)
         known = self.known
         coded = np.fromiter((known.get(w, 0) for w in words), np.uint64, len(words))
-        hits, codes, best = {}, None, {}
+        hits, best = {}, {}
         for width, hashes in self.hashes.items():
             own = shingle_codes(coded, width)
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
@@ -127,8 +129,7 @@ class Items:
                 hits[width] = np.concatenate(([0], np.cumsum(found)))
         if not hits:
             return []
-        codes = _codes(words, known)
-        sums = {}
+        codes, sums = _codes(words, known), {}
         for m, (width, items, blocks) in self.sized.items():
             if width not in hits or len(words) < m:
                 continue
@@ -140,9 +141,11 @@ class Items:
             if width not in sums:
                 sums[width] = shingle_codes(codes, width)
             own = sums[width]
-            for k in range(0, len(starts), 4096):
-                part = starts[k : k + 4096]
-                lo = int(part[0])
+            k = 0
+            while k < len(starts):  # windows that start within RUN words of the first
+                lo = int(starts[k])
+                end = int(np.searchsorted(starts, lo + RUN))
+                part, k = starts[k:end], end
                 run = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(own[lo : int(part[-1]) + n]), axis=0, dtype=np.int32)))
                 fps = _pack(run[part - lo + n] - run[part - lo])
                 for i, j in zip(*(x.tolist() for x in blocks.within(fps))):

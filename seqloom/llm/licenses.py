@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -63,6 +64,8 @@ def align(t: list[int], d: list[int], shift: int, band: int = BAND) -> tuple[int
     Returns (matched words, first matched place, one past the last), for the most matches less half the gaps and mismatches.
     """
     m, width = len(t), 2 * band + 1
+    if shift >= 0 and d[shift : shift + m] == t:
+        return m, shift, shift + m
     lo = shift - band  # of d at template word 0
     none = (-1e9, 0, -1, -1)
     row = [(0.0, 0, -1, -1)] * (width + 1)  # free start; score, matches, first, last
@@ -147,8 +150,13 @@ class Scanner:
                     found.append((t, n, n / len(ids_t), a + first, a + end))
         # of matches that overlap, the one with the most matched words stays
         kept: list[tuple] = []
+        starts: list[int] = []  # of those kept, in order; they don't overlap
+        ends: list[int] = []
         for x in sorted(set(found), key=lambda x: (-x[1], -x[2], x[3], x[0])):
-            if all(x[4] <= y[3] or x[3] >= y[4] for y in kept):
+            k = bisect_right(starts, x[3])
+            if (k == 0 or ends[k - 1] <= x[3]) and (k == len(starts) or starts[k] >= x[4]):
+                starts.insert(k, x[3])
+                ends.insert(k, x[4])
                 kept.append(x)
         if not kept:
             return []

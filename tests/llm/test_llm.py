@@ -192,6 +192,20 @@ def test_anchors_span_chunks(monkeypatch):
     assert repeats.Anchors(400, 100)(text) == whole
 
 
+def test_stages_pass_odd_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names = ["quality", "leaks", "_quality", "key", "fp", "row", "kept", "a.b", "doc id", "spans", "th"]
+    kind = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), 5, *names), (None, None, None, *[None] * len(names))], kind)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, docs, f"file://{tmp_path}")
+        assert got.dtypes == docs.dtypes, name
+        assert [list(r)[3:] for r in got.where("doc_id = 1").collect()] == [names], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}").count() == 2
+
+
 def test_odd_columns_pass(spark):
     rows = spark.createDataFrame([(1, "t", "k", 5, "x.y")], "doc_id long, text string, key string, lo int, `a.b` string")
     got = repeats.remove_repeats(rows).select("row.*").first()
