@@ -260,6 +260,30 @@ add("io1_fasta_round_trip", _fasta, BACK_SQL)
 add("io4_fastq_round_trip", _fastq, BACK_SQL)
 add("io7_csv_round_trip", lambda spark, sf: _csv(spark, sf).df.select("id", "description", "seq"), BACK_SQL)
 add("io10_csv_skipped", lambda spark, sf: _csv(spark, sf, "skip").skipped.select("id", "column", "message"), f"WITH {DNA_SQL} SELECT 'd' || doc_id AS id, 'seq' AS column, 'invalid character ''#'' at position ' || length(seq) AS message FROM s WHERE doc_id % 5 = 0")
+def _lines(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Lines of a written file by their first character's role."""
+    path = base.scratch(spark, kind)
+    if kind == "fasta":
+        fasta.write_fasta(path, _records(spark, sf), 50)
+    else:
+        fastq.write_fastq(path, _records(spark, sf), "J")
+    line = F.col("value")
+    role = F.when(line.startswith(">") | line.startswith("@"), "header").when(line == "+", "plus").when(line.rlike("^J+$"), "quality").when(line == "", "blank").otherwise("bases")
+    return spark.read.text(path).groupBy(role.alias("role")).agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("symbols"))
+
+
+_HEADER = "length('d' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' about ' || doc_id ELSE '' END) + 1"
+add("io3_fasta_lines", lambda spark, sf: _lines(spark, sf, "fasta"), f"WITH {DNA_SQL} SELECT 'header' AS role, count(*) AS lines, {n(f'sum({_HEADER})')} AS symbols FROM s UNION ALL SELECT 'bases', {n('sum((length(seq) + 49) // 50)')}, {n('sum(length(seq))')} FROM s UNION ALL SELECT 'blank', count(*), CAST(0 AS BIGINT) FROM s WHERE seq = '' HAVING count(*) > 0")
+add("io6_fastq_lines", lambda spark, sf: _lines(spark, sf, "fastq"), f"WITH {DNA_SQL} SELECT 'header' AS role, count(*) AS lines, {n(f'sum({_HEADER})')} AS symbols FROM s UNION ALL SELECT 'plus', count(*), count(*) FROM s UNION ALL SELECT unnest(['bases', 'quality']), count(*), {n('sum(length(seq))')} FROM s WHERE seq <> '' UNION ALL SELECT 'blank', 2 * count(*), CAST(0 AS BIGINT) FROM s WHERE seq = '' HAVING count(*) > 0")
+
+
+def _columns(spark: SparkSession, sf: str) -> DataFrame:
+    path = base.scratch(spark, "csv")
+    base.documents(spark, sf).select("doc_id", F.length("text").alias("n"), F.lit("x").alias("last one")).coalesce(1).write.option("header", True).csv(path)
+    return spark.createDataFrame(list(enumerate(tables.csv_columns(spark, path))), "place long, name string")
+
+
+add("io8_csv_columns", _columns, "SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS place, unnest(['doc_id', 'n', 'last one']) AS name")
 add("io9_detect", over(_texts, kind=lambda s: strings.detect_kind(s)), select(TEXTS_SQL, kind="CASE WHEN regexp_matches(upper(seq), '[DEFHIKLMPQRSVWY]') THEN 'protein' WHEN contains(upper(seq), 'U') AND NOT contains(upper(seq), 'T') THEN 'rna' ELSE 'dna' END"))
 add("io11_normalize", over(_texts, seq=lambda s: strings.normalize(s)), select(TEXTS_SQL, seq="regexp_replace(seq, '[ \\t\\n\\r\\f\\x0B]', '', 'g')"))
 
@@ -294,6 +318,39 @@ add("l1_align_local_cigar", _aligned(base.dna, "dna", True, True, align.Scoring(
 add("l2_align_global", _aligned(base.dna, "dna", False, False))
 add("l2_align_global_free_ends", _aligned(base.dna, "dna", False, True, align.Scoring(2, -1, -2.0, -0.5, end_gap=False)))
 
+def _strings_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the aligned strings of a global alignment without their gaps are the inputs, and are of one length."""
+    got = align.align_pairs(_pairs(base.dna)(spark, sf), traceback=True, local=False, scoring=align.Scoring(2, -1, -2.0, -1.0))
+    got = got.select("doc_id", "query", "target", align.aligned_strings(F.col("query"), F.col("target"), F.col("aln")).alias("s"))
+    return got.select("doc_id", (F.length("s.query") == F.length("s.target")).alias("even"), (F.replace("s.query", F.lit("-"), F.lit("")) == F.col("query")).alias("query_kept"), (F.replace("s.target", F.lit("-"), F.lit("")) == F.col("target")).alias("target_kept"))
+
+
+def _rescored(local: bool, scoring: align.Scoring) -> Query:
+    """Whether an alignment's operations add up to its score, which the score-only run gives too."""
+
+    @F.pandas_udf("boolean")
+    def same(q, t, aln, score):
+        import pandas as pd
+
+        rows = aln.to_dict("records")
+        for r in rows:
+            r["cigar"] = [(c["op"], c["len"]) for c in r["cigar"]]
+        again = [align.rescore(a, b, r, scoring, "dna", local) if len(r["cigar"]) else 0.0 for a, b, r in zip(q, t, rows)]
+        return pd.Series([abs(x - r["score"]) < 1e-2 and abs(y - r["score"]) < 1e-2 for x, y, r in zip(again, score, rows)])
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        got = align.align_pairs(_pairs(base.dna)(spark, sf), scoring=scoring, local=local, traceback=True)
+        got = align.align_pairs(got, scoring=scoring, local=local, name="plain")
+        return got.select("doc_id", same("query", "target", "aln", F.col("plain.score")).alias("same"))
+
+    return run
+
+
+_PAIRS_SQL = "SELECT a.doc_id, {} FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+add("l9_aligned_strings", _strings_kept, _PAIRS_SQL.format("true AS even, true AS query_kept, true AS target_kept"))
+add("l10_rescore_local", _rescored(True, align.Scoring(2, -1, -3.0, -1.0)), _PAIRS_SQL.format("true AS same"))
+add("l10_rescore_global", _rescored(False, align.Scoring(2, -1, -2.0, -1.0)), _PAIRS_SQL.format("true AS same"))
+
 PADDED_SQL = f"g AS (SELECT doc_id, doc_id // {GROUP} AS msa_id, seq, length(seq) AS n FROM s), p AS (SELECT a.msa_id, a.doc_id AS i, b.doc_id AS j, a.seq AS x, b.seq AS y, least(a.n, b.n) AS valid FROM g a JOIN g b ON a.msa_id = b.msa_id AND a.doc_id < b.doc_id)"
 _DIFFERENT = "len(list_filter(range(1, valid + 1), lambda k: substr(x, k, 1) <> substr(y, k, 1)))"
 _TS = "len(list_filter(range(1, valid + 1), lambda k: substr(x, k, 1) || substr(y, k, 1) IN ('AG', 'GA', 'CT', 'TC')))"
@@ -323,6 +380,21 @@ def _trees(method: str) -> Query:
 
 add("t9_neighbour_joining", _trees("nj"))
 add("t10_upgma", _trees("upgma"))
+def _shape(method: str) -> Query:
+    """Leaves, nodes and lines of the diagram of each tree."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = phylo.pair_distances(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False)
+        got = phylo.build_trees(d.withColumn("d", F.coalesce("d", F.lit(1.0))), method)
+        roots = F.size(F.filter("nodes", lambda n: n["is_root"])).cast("long")
+        return got.select("msa_id", "leaves", F.size("nodes").cast("long").alias("n_nodes"), F.size(F.split("diagram", "\n")).cast("long").alias("lines"), roots.alias("roots"))
+
+    return run
+
+
+for _name, _method, _roots in (("t9_nj_shape", "nj", 0), ("t10_upgma_shape", "upgma", 1)):
+    add(_name, _shape(_method), f"SELECT doc_id // {GROUP} AS msa_id, count(*) AS leaves, 2 * count(*) - 1 AS n_nodes, 2 * count(*) - 1 AS lines, CAST({_roots} AS BIGINT) AS roots FROM documents GROUP BY 1 HAVING count(*) > 1")
+add("m5_widths", lambda spark, sf: Alignment(base.aligned(base.protein(spark, sf)), "protein").widths(), f"WITH {PROTEIN_SQL} SELECT doc_id // {GROUP} AS msa_id, count(*) AS rows, {n('max(length(seq))')} AS width FROM s GROUP BY 1")
 add("m6_conservation", lambda spark, sf: Alignment(base.aligned(base.dna(spark, sf)), "dna").conservation().groupBy("msa_id").agg(F.count("*").alias("width"), F.sum(F.col("conserved").cast("long")).alias("conserved")), f"WITH {DNA_SQL}, g AS (SELECT doc_id // {GROUP} AS msa_id, seq, max(length(seq)) OVER (PARTITION BY doc_id // {GROUP}) AS w FROM s), r AS (SELECT msa_id, rpad(seq, CAST(w AS INTEGER), '-') AS a FROM g WHERE w > 0), c AS (SELECT msa_id, unnest(range(length(a))) AS col, unnest(string_split(a, '')) AS c FROM r), k AS (SELECT msa_id, col, count(*) AS n, count(DISTINCT c) AS u, min(c) AS low FROM c GROUP BY ALL) SELECT msa_id, count(*) AS width, {n('sum(CAST(n = 1 OR (u = 1 AND low <> chr(45)) AS INT))')} AS conserved FROM k GROUP BY msa_id")
 
 

@@ -150,3 +150,14 @@ def test_qgrams(spark):
     a, b = alphabets.Alphabet("AC"), alphabets.Alphabet("CG")
     assert a.union(b) == alphabets.Alphabet("ACG") and a.intersection(b) == alphabets.Alphabet("C") and a.difference(b) == alphabets.Alphabet("A")
     assert a.insert("T").max_symbol() == "T" and alphabets.Alphabet().is_empty() and len(a) == 2
+
+
+def test_sql_functions(spark):
+    from seqloom.functions import sql
+
+    names = sql.register(spark)
+    assert len(names) == len(set(names)) == len(sql.FUNCTIONS)
+    spark.createDataFrame([("ACGTACGN", "MKV")], "d string, p string").createOrReplaceTempView("seqs")
+    got = spark.sql("select seq_reverse_complement(d), seq_gc_content('GGCA'), seq_count(d, 'AC'), seq_count_overlap('AAA', 'AA'), seq_rfind(d, 'AC'), seq_is_dna(d), seq_detect_kind(p), seq_net_charge(p, 7.0D), seq_molecular_weight('AC') from seqs").first()
+    charge = value(spark, lambda s: protein.net_charge(s, 7.0), "MKV")
+    assert list(got) == ["NCGTACGT", 0.75, 2, 2, 4, True, "protein", charge, pytest.approx(192.23288)]
