@@ -159,65 +159,94 @@ def encode(seq: str, kind: str) -> np.ndarray:
 
 
 def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring: Scoring, local: bool, traceback: bool):
-    """Scores, ends and trace bytes of a block of pairs; neither side is empty."""
+    """Scores, ends and trace bytes of a block of pairs; neither side is empty.
+
+    Diagonal d holds cells (i, d - i), i from 0 on; buffers of three diagonals are used in turn.
+    """
     size = len(qs)
     ms, ns = np.array([len(q) for q in qs]), np.array([len(t) for t in ts])
     m, n = int(ms.max()), int(ns.max())
-    q, t = np.zeros((size, m), np.int64), np.zeros((size, n), np.int64)
+    width = len(table)
+    # padding symbols score so low that no best cell lies among them
+    wide = np.full((width + 1, width + 1), -1e9, np.float32)
+    wide[:width, :width] = table
+    flat = wide.ravel()
+    q, t = np.full((size, m), width, np.int32), np.full((size, n), width, np.int32)
     for k in range(size):
         q[k, : ms[k]] = qs[k]
         t[k, : ns[k]] = ts[k]
-    flat, width = table.ravel(), len(table)
+    t *= width + 1
+    q = np.ascontiguousarray(q[:, ::-1])  # a diagonal is then a run of both
     go, ge = np.float32(scoring.gap_open), np.float32(scoring.gap_extend)
     eo, ee = (np.float32(x) for x in scoring.ends())
     special = not local and (eo, ee) != (go, ge)
+    masked = go == 0 or ge == 0  # free gaps could carry a best score into the padding
     trace = np.zeros((size, n + m + 1, n + 1), np.uint8) if traceback else None  # by diagonal and row: 1 D, 2 I, 3 stop; 4 D extends, 8 I extends
-    full = lambda: np.full((size, n + 1), NONE, np.float32)
-    h1, h2, e1, f1 = full(), full(), full(), full()  # diagonals before
-    h1[:, 0] = 0  # diagonal 0
+    hs, es, fs = (np.full((3, size, n + 1), NONE, np.float32) for _ in range(3))
+    hs[0, :, 0] = 0  # diagonal 0
     best, best_i, best_j = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.int64)
     final = np.zeros(size, np.float32)
+    ending: dict[int, list[int]] = {}
+    for k, d in enumerate((ns + ms).tolist()):
+        ending.setdefault(d, []).append(k)
     for d in range(1, n + m + 1):
-        h, e, f = full(), full(), full()
+        h, e, f = hs[d % 3], es[d % 3], fs[d % 3]
+        h1, e1, f1, h2 = hs[(d - 1) % 3], es[(d - 1) % 3], fs[(d - 1) % 3], hs[(d - 2) % 3]
         lo, hi = max(1, d - m), min(n, d - 1)  # rows with an inner cell
         if lo <= hi:
-            rows = np.arange(lo, hi + 1)
-            cols = d - rows
-            score = flat[t[:, lo - 1 : hi] * width + q[:, cols - 1]]
+            at = slice(lo, hi + 1)
+            up = slice(lo - 1, hi)
             do, de, io, ie = go, ge, go, ge
             if special:
-                last_col, last_row = cols[None] == ms[:, None], rows[None] == ns[:, None]
+                rows = np.arange(lo, hi + 1)
+                last_col, last_row = (d - rows)[None] == ms[:, None], rows[None] == ns[:, None]
                 do, de = np.where(last_col, eo, go), np.where(last_col, ee, ge)
                 io, ie = np.where(last_row, eo, go), np.where(last_row, ee, ge)
-            e_open, e_ext = h1[:, lo - 1 : hi] + do, e1[:, lo - 1 : hi] + de
-            f_open, f_ext = h1[:, lo : hi + 1] + io, f1[:, lo : hi + 1] + ie
-            ee_, ff_ = np.maximum(e_open, e_ext), np.maximum(f_open, f_ext)
-            diag = h2[:, lo - 1 : hi] + score
-            top = np.maximum(np.maximum(diag, ee_), ff_)
+            e_open, e_ext = h1[:, up] + do, e1[:, up] + de
+            f_open, f_ext = h1[:, at] + io, f1[:, at] + ie
+            top = flat[t[:, up] + q[:, m - d + lo : m - d + hi + 1]]
+            top += h2[:, up]
+            if traceback:
+                bits = (e_ext > e_open).view(np.uint8) << 2 | (f_ext > f_open).view(np.uint8) << 3
+            deletion, insertion = np.maximum(e_open, e_ext, out=e[:, at]), np.maximum(f_open, f_ext, out=f[:, at])
             if traceback:
-                kind = np.where(ff_ > np.maximum(diag, ee_), 2, np.where(ee_ > diag, 1, 0)).astype(np.uint8)
+                bits |= deletion > top
+                np.maximum(top, deletion, out=top)
+                less = insertion > top
+                bits[less] = bits[less] & 12 | 2
+                np.maximum(top, insertion, out=top)
                 if local:
-                    kind[top < 0] = 3
-                trace[:, d, lo : hi + 1] = kind | ((e_ext > e_open).astype(np.uint8) << 2) | ((f_ext > f_open).astype(np.uint8) << 3)
+                    bits[top < 0] |= 3
+                trace[:, d, at] = bits
+            else:
+                np.maximum(top, deletion, out=top)
+                np.maximum(top, insertion, out=top)
             if local:
-                top = np.maximum(top, 0)
-                inside = np.where((rows[None] <= ns[:, None]) & (cols[None] <= ms[:, None]), top, NONE)
-                at = inside.argmax(axis=1)
-                value = inside[np.arange(size), at]
-                i, j = rows[at], cols[at]
-                better = (value > best) | ((value == best) & (value > 0) & (i < best_i))
-                best = np.where(better, value, best)
-                best_i, best_j = np.where(better, i, best_i), np.where(better, j, best_j)
-            h[:, lo : hi + 1], e[:, lo : hi + 1], f[:, lo : hi + 1] = top, ee_, ff_
+                np.maximum(top, 0, out=top)
+                inside = top
+                if masked:
+                    rows = np.arange(lo, hi + 1)
+                    inside = np.where((rows[None] <= ns[:, None]) & ((d - rows)[None] <= ms[:, None]), top, NONE)
+                value = inside.max(axis=1)
+                may = np.flatnonzero((value >= best) & (value > 0))
+                if len(may):
+                    i = inside[may].argmax(axis=1) + lo
+                    better = (value[may] > best[may]) | (i < best_i[may])
+                    may, i = may[better], i[better]
+                    best[may], best_i[may], best_j[may] = value[may], i, d - i
+            h[:, at] = top
+        # what lies beside the inner cells is read by the next two diagonals
         edge = np.float32(0) if local else np.float32(eo + ee * np.float32(d - 1))
-        if d <= m:
-            h[:, 0] = edge
+        h[:, 0] = edge if d <= m else NONE
+        e[:, 0] = f[:, 0] = NONE
+        if lo > 1:
+            h[:, lo - 1] = e[:, lo - 1] = f[:, lo - 1] = NONE
         if d <= n:
             h[:, d] = edge
-        if not local:
-            done = np.flatnonzero(ns + ms == d)
+            e[:, d] = f[:, d] = NONE
+        if not local and d in ending:
+            done = np.array(ending[d])
             final[done] = h[done, ns[done]]
-        h2, h1, e1, f1 = h1, h, e, f
     if local:
         return best, best_i, best_j, trace
     return final, ns, ms, trace

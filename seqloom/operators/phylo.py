@@ -106,6 +106,14 @@ def pair_distances(alignment: Alignment, model: str = "p-distance", strict: bool
     return pairs.mapInPandas(compare, "msa_id long, i long, j long, label_i string, label_j string, d double")
 
 
+def long_matrix(alignment: Alignment, model: str = "p-distance", strict: bool = True) -> DataFrame:
+    """The whole matrix in long form: pair_distances(), its mirror image, and zeros on the diagonal."""
+    pairs = pair_distances(alignment, model, strict)
+    both = pairs.select("msa_id", F.explode(F.array(F.struct("i", "j", "label_i", "label_j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("label_j").alias("label_i"), F.col("label_i").alias("label_j"), "d"))).alias("x")).select("msa_id", "x.*")
+    own = alignment.df.select("msa_id", F.col("pos").alias("i"), F.col("pos").alias("j"), F.col("id").alias("label_i"), F.col("id").alias("label_j"), F.lit(0.0).alias("d"))
+    return both.unionByName(own)
+
+
 def distance_matrix(alignment: Alignment, model: str = "p-distance") -> DistanceMatrix:
     """The matrix of one alignment of at least two rows."""
     n = alignment.df.count()

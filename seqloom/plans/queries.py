@@ -110,6 +110,8 @@ add("s12_repeat", over(base.dna, twice=lambda s: strings.repeat(s, 2), none=lamb
 add("s13_length", over(base.dna, n=strings.length, shown=lambda s: strings.represent(s, "dna"), raw=lambda s: F.hex(strings.to_bytes(s))), select(DNA_SQL, n=n("length(seq)"), shown="'DNA(\"' || seq || '\")'", raw="hex(encode(seq))"))
 add("s13_symbols", lambda spark, sf: base.dna(spark, sf).select("doc_id", F.explode(strings.symbols(F.col("seq"))).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n")), f"WITH {DNA_SQL}, p AS (SELECT doc_id, unnest(string_split(seq, '')) AS c FROM s WHERE seq <> '') SELECT doc_id, c, count(*) AS n FROM p GROUP BY ALL")
 
+add("s14_needles", over(base.dna, text=lambda s: strings.count(s, "A"), raw=lambda s: strings.count(s, b"A"), byte=lambda s: strings.count(s, 65), column=lambda s: strings.count(s, F.substring(s, 1, 1))), select(DNA_SQL, text=n("length(seq) - length(replace(seq, 'A', ''))"), raw=n("length(seq) - length(replace(seq, 'A', ''))"), byte=n("length(seq) - length(replace(seq, 'A', ''))"), column=n("CASE WHEN seq = '' THEN 1 ELSE length(seq) - length(replace(seq, left(seq, 1), '')) END")))
+
 # -- nucleotides --------------------------------------------------------------
 
 add("n1_complement", over(base.dna, c=nucleotide.complement), select(DNA_SQL, c="translate(seq, 'ACGT', 'TGCA')"))
@@ -198,6 +200,7 @@ add("p12_unknown_positions", lambda spark, sf: base.documents(spark, sf).select(
 # -- gaps and alphabets -------------------------------------------------------
 
 add("g1_ungapped", lambda spark, sf: base.dna(spark, sf).select("doc_id", strings.ungapped(F.translate("seq", "AG", "-.")).alias("u")), f"WITH {DNA_SQL} SELECT doc_id, translate(seq, 'AG', '') AS u FROM s")
+add("g2_gapped", lambda spark, sf: base.dna(spark, sf).select("doc_id", F.translate("seq", "AG", "-.").alias("g")).select("doc_id", strings.length(F.col("g")).alias("n"), strings.slice_(F.col("g"), 2, 7).alias("part"), strings.is_valid(F.col("g"), "gapped_dna").alias("valid"), strings.represent(F.col("g"), "gapped_dna").alias("shown")), f"WITH {DNA_SQL}, g AS (SELECT doc_id, translate(seq, 'AG', '-.') AS g FROM s) SELECT doc_id, {n('length(g)')} AS n, substr(g, 3, 5) AS part, true AS valid, 'GappedDNA(\"' || g || '\")' AS shown FROM g")
 _ALPHABETS = {"union": alphabets.DNA.union(alphabets.RNA), "intersection": alphabets.DNA_FULL.intersection(alphabets.PROTEIN), "difference": alphabets.PROTEIN.difference(alphabets.DNA)}
 add("a2_algebra", over(_texts, **{k: lambda s, a=a: a.is_word(s) for k, a in _ALPHABETS.items()}), select(TEXTS_SQL, **{f'"{k}"': f"NOT regexp_matches(seq, '[^{''.join(sorted(a.symbols))}]')" for k, a in _ALPHABETS.items()}))
 _RANKS = alphabets.Alphabet("ACGT").ranks()
@@ -228,6 +231,9 @@ add("b8_repeat", lambda spark, sf: _batch(spark, sf).repeat(3).df, f"WITH {NUMBE
 add("b9_truncate", lambda spark, sf: _batch(spark, sf).truncate(100).df, f"WITH {NUMBERED_SQL} SELECT pos, seq FROM b WHERE pos < 100")
 add("b9_pop", lambda spark, sf: _batch(spark, sf).pop()[1].df, f"WITH {DNA_SQL} SELECT doc_id AS pos, seq FROM s WHERE doc_id < (SELECT max(doc_id) FROM s)")
 add("b11_map", lambda spark, sf: _batch(spark, sf).map(lambda s: s[::-1]).df, f"WITH {DNA_SQL} SELECT doc_id AS pos, reverse(seq) AS seq FROM s")
+add("b12_bytes", lambda spark, sf: _batch(spark, sf).to_bytes().select("pos", F.hex("seq").alias("raw")), f"WITH {DNA_SQL} SELECT doc_id AS pos, hex(encode(seq)) AS raw FROM s")
+add("r3_features", lambda spark, sf: _records(spark, sf).df.select("pos", F.explode("features").alias("f")).select("pos", "f.feature_type", "f.location.start", "f.location.end", F.col("f.location.strand").cast("long").alias("strand"), F.col("f.qualifiers")["gene"][0].alias("gene")), f"WITH {DNA_SQL} SELECT doc_id AS pos, 'gene' AS feature_type, CAST(0 AS BIGINT) AS start, {n('ceil(length(seq) / 2)')} AS end, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(1 AS BIGINT) END AS strand, CAST(doc_id AS VARCHAR) AS gene FROM s")
+add("r5_getitem", lambda spark, sf: _records(spark, sf)[1::3].df.select("pos", "id", "seq", F.size("features").cast("long").alias("features")), f"WITH {NUMBERED_SQL.replace('seq FROM s)', 'doc_id, seq FROM s)')} SELECT {n('(pos - 1) // 3')} AS pos, 'd' || doc_id AS id, seq, CAST(1 AS BIGINT) AS features FROM b WHERE pos % 3 = 1")
 add("r4_records", lambda spark, sf: _records(spark, sf).df.select("pos", "id", "description", strings.length(F.col("seq")).alias("n"), F.col("features")[0]["qualifiers"]["gene"][0].alias("gene")), f"WITH {DNA_SQL} SELECT doc_id AS pos, 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'about ' || doc_id END AS description, {n('length(seq)')} AS n, CAST(doc_id AS VARCHAR) AS gene FROM s")
 
 # -- sources and sinks --------------------------------------------------------
@@ -257,6 +263,13 @@ def _csv(spark: SparkSession, sf: str, on_error: str = "raise"):
 
 
 add("io1_fasta_round_trip", _fasta, BACK_SQL)
+def _lazy(spark: SparkSession, sf: str) -> DataFrame:
+    path = base.scratch(spark, "fasta")
+    fasta.write_fasta(path, _records(spark, sf), 60)
+    return fasta.scan_files(spark, path).select("id", "description", "seq")
+
+
+add("io2_fasta_iterator", _lazy, BACK_SQL)
 add("io4_fastq_round_trip", _fastq, BACK_SQL)
 add("io7_csv_round_trip", lambda spark, sf: _csv(spark, sf).df.select("id", "description", "seq"), BACK_SQL)
 add("io10_csv_skipped", lambda spark, sf: _csv(spark, sf, "skip").skipped.select("id", "column", "message"), f"WITH {DNA_SQL} SELECT 'd' || doc_id AS id, 'seq' AS column, 'invalid character ''#'' at position ' || length(seq) AS message FROM s WHERE doc_id % 5 = 0")
@@ -351,6 +364,25 @@ add("l9_aligned_strings", _strings_kept, _PAIRS_SQL.format("true AS even, true A
 add("l10_rescore_local", _rescored(True, align.Scoring(2, -1, -3.0, -1.0)), _PAIRS_SQL.format("true AS same"))
 add("l10_rescore_global", _rescored(False, align.Scoring(2, -1, -2.0, -1.0)), _PAIRS_SQL.format("true AS same"))
 
+def _translated(spark: SparkSession, sf: str) -> DataFrame:
+    return base.dna(spark, sf).withColumn("seq", nucleotide.translate(F.col("seq"), 1))
+
+
+add("l4_align_protein", _aligned(_translated, "protein", True, False, align.Scoring(gap_open=-11, gap_extend=-1)))
+
+
+def _encoded(kind: str, codes: str, source: Query) -> Query:
+    @F.pandas_udf("long")
+    def total(seqs):
+        return seqs.map(lambda s: int(align.encode(s, kind).sum()))
+
+    return lambda spark, sf: source(spark, sf).select("doc_id", total("seq").alias("total"))
+
+
+for _name, _kind, _source, _with, _codes in (("l7_encode_dna", "dna", base.dna, DNA_SQL, align.DNA_CODES), ("l7_encode_protein", "protein", base.protein, PROTEIN_SQL, align.PROTEIN_CODES)):
+    _total = " + ".join(f"{k} * (length(seq) - length(replace(seq, '{c}', '')))" for k, c in enumerate(_codes))
+    add(_name, _encoded(_kind, _codes, _source), f"WITH {_with} SELECT doc_id, {n(_total)} AS total FROM s")
+
 PADDED_SQL = f"g AS (SELECT doc_id, doc_id // {GROUP} AS msa_id, seq, length(seq) AS n FROM s), p AS (SELECT a.msa_id, a.doc_id AS i, b.doc_id AS j, a.seq AS x, b.seq AS y, least(a.n, b.n) AS valid FROM g a JOIN g b ON a.msa_id = b.msa_id AND a.doc_id < b.doc_id)"
 _DIFFERENT = "len(list_filter(range(1, valid + 1), lambda k: substr(x, k, 1) <> substr(y, k, 1)))"
 _TS = "len(list_filter(range(1, valid + 1), lambda k: substr(x, k, 1) || substr(y, k, 1) IN ('AG', 'GA', 'CT', 'TC')))"
@@ -394,6 +426,20 @@ def _shape(method: str) -> Query:
 
 for _name, _method, _roots in (("t9_nj_shape", "nj", 0), ("t10_upgma_shape", "upgma", 1)):
     add(_name, _shape(_method), f"SELECT doc_id // {GROUP} AS msa_id, count(*) AS leaves, 2 * count(*) - 1 AS n_nodes, 2 * count(*) - 1 AS lines, CAST({_roots} AS BIGINT) AS roots FROM documents GROUP BY 1 HAVING count(*) > 1")
+add(
+    "t7_distance_matrix",
+    lambda spark, sf: phylo.long_matrix(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False).select("msa_id", "i", "j", (F.round("d", 6) + F.lit(0.0)).alias("d")),
+    f"WITH {DNA_SQL}, {PADDED_SQL}, c AS (SELECT msa_id, i, j, round(CASE WHEN valid > 0 THEN CAST({_DIFFERENT} AS DOUBLE) / valid END, 6) + 0.0 AS d FROM p) SELECT * FROM c UNION ALL SELECT msa_id, j, i, d FROM c UNION ALL SELECT msa_id, doc_id, doc_id, CAST(0 AS DOUBLE) FROM g",
+)
+
+
+def _leaves(spark: SparkSession, sf: str) -> DataFrame:
+    d = phylo.pair_distances(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False)
+    got = phylo.build_trees(d.withColumn("d", F.coalesce("d", F.lit(1.0))), "upgma")
+    return got.select("msa_id", F.explode("nodes").alias("n")).where(F.size("n.children") == 0).select("msa_id", "n.label")
+
+
+add("t13_leaf_labels", _leaves, f"SELECT doc_id // {GROUP} AS msa_id, 'd' || doc_id AS label FROM documents")
 add("m5_widths", lambda spark, sf: Alignment(base.aligned(base.protein(spark, sf)), "protein").widths(), f"WITH {PROTEIN_SQL} SELECT doc_id // {GROUP} AS msa_id, count(*) AS rows, {n('max(length(seq))')} AS width FROM s GROUP BY 1")
 add("m6_conservation", lambda spark, sf: Alignment(base.aligned(base.dna(spark, sf)), "dna").conservation().groupBy("msa_id").agg(F.count("*").alias("width"), F.sum(F.col("conserved").cast("long")).alias("conserved")), f"WITH {DNA_SQL}, g AS (SELECT doc_id // {GROUP} AS msa_id, seq, max(length(seq)) OVER (PARTITION BY doc_id // {GROUP}) AS w FROM s), r AS (SELECT msa_id, rpad(seq, CAST(w AS INTEGER), '-') AS a FROM g WHERE w > 0), c AS (SELECT msa_id, unnest(range(length(a))) AS col, unnest(string_split(a, '')) AS c FROM r), k AS (SELECT msa_id, col, count(*) AS n, count(DISTINCT c) AS u, min(c) AS low FROM c GROUP BY ALL) SELECT msa_id, count(*) AS width, {n('sum(CAST(n = 1 OR (u = 1 AND low <> chr(45)) AS INT))')} AS conserved FROM k GROUP BY msa_id")
 

@@ -83,7 +83,7 @@ def one(q, t, scoring=Scoring(), kind="dna", local=True, traceback=True):
     return align_batch([q], [t], scoring, kind, local, traceback)[0]
 
 
-def test_known_alignments():
+def test_known_alignments(spark):
     assert one("ACGT", "ACGT")["score"] == 20 and one("ACGT", "ACGT")["cigar"] == [("M", 4)]
     assert one("ACGT", "ACG", local=False)["score"] == 13
     assert one("", "ACGT", local=False) == {"score": -5.0, "query_start": 0, "query_end": 0, "target_start": 0, "target_end": 3, "cigar": [("D", 4)]}
