@@ -341,8 +341,7 @@ def _strings_kept(spark: SparkSession, sf: str) -> DataFrame:
 def _rescored(local: bool, scoring: align.Scoring) -> Query:
     """Whether an alignment's operations add up to its score, which the score-only run gives too."""
 
-    @F.pandas_udf("boolean")
-    def same(q, t, aln, score):
+    def check(q, t, aln, score):
         import pandas as pd
 
         rows = aln.to_dict("records")
@@ -354,6 +353,7 @@ def _rescored(local: bool, scoring: align.Scoring) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         got = align.align_pairs(_pairs(base.dna)(spark, sf), scoring=scoring, local=local, traceback=True)
         got = align.align_pairs(got, scoring=scoring, local=local, name="plain")
+        same = F.pandas_udf(check, "boolean")
         return got.select("doc_id", same("query", "target", "aln", F.col("plain.score")).alias("same"))
 
     return run
@@ -372,11 +372,10 @@ add("l4_align_protein", _aligned(_translated, "protein", True, False, align.Scor
 
 
 def _encoded(kind: str, codes: str, source: Query) -> Query:
-    @F.pandas_udf("long")
     def total(seqs):
         return seqs.map(lambda s: int(align.encode(s, kind).sum()))
 
-    return lambda spark, sf: source(spark, sf).select("doc_id", total("seq").alias("total"))
+    return lambda spark, sf: source(spark, sf).select("doc_id", F.pandas_udf(total, "long")("seq").alias("total"))
 
 
 for _name, _kind, _source, _with, _codes in (("l7_encode_dna", "dna", base.dna, DNA_SQL, align.DNA_CODES), ("l7_encode_protein", "protein", base.protein, PROTEIN_SQL, align.PROTEIN_CODES)):

@@ -1,6 +1,8 @@
 """Queries of the entry point: one for each SQL, and the smallest table runs."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -15,6 +17,11 @@ def test_names():
     assert set(plans.SQL) <= set(plans.QUERIES) and len(plans.SQL) > 70
 
 
+def test_imports_without_a_session():
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=os.path.dirname(__spark_entry__.__file__))
+    assert run.returncode == 0, run.stderr
+
+
 def normal(v):
     if isinstance(v, float):
         return round(v, 5) + 0.0
