@@ -340,7 +340,8 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
 
     mixed = seen.where("many")
     distinct = stage(mixed.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi", "at")).alias("r")).select("h", "dig", "n", "r.*"), "distinct-segments")
-    full = mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", "hi")
+    # joins with hot keys are written one by one: in a union Spark would not split them
+    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", "hi"), "equal-segments")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("many"))
     sizes = stage(sizes, "anchor-sizes")
@@ -353,7 +354,7 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
 
     hot = cut.where(F.col("many") > GROUP).mapInArrow(_windows(length), "h long, l int, dig long, n long, key binary, s int")
     twice = stage(hot.groupBy("h", "l", "dig").agg(F.sum("n").alias("times")).where("times > 1").select("h", "l", "dig"), "repeated-windows")
-    counted = hot.where("n = 1").join(twice, ["h", "l", "dig"], "left_semi").select("key", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    counted = stage(hot.where("n = 1").join(twice, ["h", "l", "dig"], "left_semi").select("key", F.col("s").alias("lo"), F.col("s").alias("hi")), "counted-windows")
     return alike.unionByName(full).unionByName(compared).unionByName(counted)
 
 
