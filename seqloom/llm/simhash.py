@@ -30,7 +30,9 @@ from seqloom.llm.common import components, ref, stage
 RADIUS = 4
 HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
 #: Fingerprints that fit the upper levels; their number is bounded, the rows dealt by them are not.
-SAMPLE = 16384
+SAMPLE = 131072
+#: Of them in each leaf, at least: the levels stop where boundaries would rest on fewer.
+IN_LEAF = 16
 #: Fingerprints at home in a shard, about.
 SHARD = 8192
 BLOCK = 1 << 20
@@ -175,6 +177,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     part = max(1, n // sample)
     fitted = np.array([r.fp for r in distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(part)) == 0).select("fp").limit(2 * sample).collect()], np.int64)
     fitted = np.sort(fitted).view(np.uint64)
+    depth = min(depth, int(math.log2(max(1, len(fitted) // IN_LEAF))) if len(fitted) >= IN_LEAF else 0)
     trees = [(mask, *grow(fitted, mask, depth)) for mask in HALVES]
     half = radius // 2
 
