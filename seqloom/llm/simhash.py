@@ -29,7 +29,7 @@ from seqloom.llm.common import components, ref, stage
 
 RADIUS = 4
 HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
-#: Fingerprints that fit the upper levels; their number is bounded, the rows dealt by them are not.
+#: Fingerprints that fit the upper levels, about: a bounded number and one in eight at most. All rows are dealt by them.
 SAMPLE = 131072
 #: Of them in each leaf, at least: the levels stop where boundaries would rest on fewer.
 IN_LEAF = 16
@@ -174,10 +174,12 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     """(u, v) long edges that join all distinct fingerprints (column fp) within the radius; a spanning star for each group of a shard."""
     n = distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
-    part = max(1, n // sample)
-    fitted = np.array([r.fp for r in distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(part)) == 0).select("fp").limit(2 * sample).collect()], np.int64)
-    fitted = np.sort(fitted).view(np.uint64)
-    depth = min(depth, int(math.log2(max(1, len(fitted) // IN_LEAF))) if len(fitted) >= IN_LEAF else 0)
+    fitted = np.zeros(0, np.uint64)
+    if depth:  # one in eight at most, and a bounded number
+        part = max(8, n // sample)
+        rows = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(part)) == 0).select("fp").limit(2 * sample).collect()
+        fitted = np.sort(np.array([r.fp for r in rows], np.int64)).view(np.uint64)
+        depth = min(depth, int(math.log2(max(1, len(fitted) // IN_LEAF))))
     trees = [(mask, *grow(fitted, mask, depth)) for mask in HALVES]
     half = radius // 2
 
