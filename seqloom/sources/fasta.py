@@ -109,10 +109,30 @@ def records(df: DataFrame) -> DataFrame:
 
 def sampled_kind(df: DataFrame) -> str:
     """Kind of a frame by the first record's sequence."""
-    first = df.orderBy("pos").select(F.substring("seq", 1, 1 << 16).alias("s")).first()
+    first = df.orderBy("pos").select(F.col("seq").alias("s")).first()
     if first is None:
         return "dna"
-    return df.sparkSession.range(1).select(strings.detect_kind(F.lit(first.s))).first()[0]
+    return kind_of(df.sparkSession, first.s)
+
+
+def first_sample(spark: SparkSession, path, bases: int = SAMPLE_BASES) -> str:
+    """Lines of the first record's sequence, up to the line that makes them `bases` symbols."""
+    out, size, inside = [], 0, False
+    for r in spark.read.text(path).limit(4 * bases).toLocalIterator():
+        if r.value.startswith(">"):
+            if inside:
+                break
+            inside = True
+        elif inside:
+            out.append("".join(r.value.split()))
+            size += len(out[-1])
+            if size >= bases:
+                break
+    return "".join(out)
+
+
+def kind_of(spark: SparkSession, sample: str) -> str:
+    return spark.range(1).select(strings.detect_kind(F.lit(sample))).first()[0]
 
 
 def read_fasta(spark: SparkSession, path, alphabet: str = "auto", check: bool = True) -> RecordFrame:
@@ -120,7 +140,7 @@ def read_fasta(spark: SparkSession, path, alphabet: str = "auto", check: bool =
     if check:
         check_start(spark, path)
     got = scan(spark, path)
-    kind = sampled_kind(got) if alphabet == "auto" else alphabet
+    kind = kind_of(spark, first_sample(spark, path)) if alphabet == "auto" else alphabet
     return RecordFrame(records(got.withColumn("seq", strings.validate(F.col("seq"), kind))), kind)
 
 

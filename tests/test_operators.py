@@ -265,6 +265,8 @@ def test_fasta(spark, tmp_path):
     assert got.kind == "dna" and listed(got) == [("seq1", "some desc", "ACGT"), ("seq2", None, ""), ("seq3", "x", "A")]
     assert listed(fasta.read_fasta_bytes(spark, text.encode())) == listed(got) and len(list(fasta.parse_bytes(text.encode()))) == 3
     assert fasta.read_fasta(spark, put(tmp_path, ">p\nMKV\n")).kind == "protein" and fasta.read_fasta(spark, put(tmp_path, ">p\nACGU\n")).kind == "rna"
+    late = ">s\n" + ("ACGT" * 15 + "\n") * 17 + "RRR\n>p\nMKV\n"
+    assert fasta.read_fasta(spark, put(tmp_path, late)).kind == "dna" and fasta.read_fasta(spark, put(tmp_path, late[:200] + "R" + late[200:])).kind == "protein"
     with pytest.raises(PySparkException, match="invalid"):
         listed(fasta.read_fasta(spark, put(tmp_path, ">s\nAC#\n"), "dna"))
     for bad in ("ACGT\n>s\nA\n", ">\nAC\n", ">s\nA\n> \nC\n"):
