@@ -124,11 +124,16 @@ class RankTransform:
         bits = self.width()
         if q < 1 or bits * q > 64:
             raise ValueError(f"q-grams of {q} symbols of {bits} bits don't fit 64 bits")
-        ranks = self.transform(text)
         steps = F.sequence(F.lit(1), F.length(text) - q + 1)
-        # each code from q ranks: at most 64 steps
-        code = lambda i: F.aggregate(F.slice(ranks, i, F.lit(q)), F.lit(0).cast("long"), lambda a, r: F.shiftleft(a, bits).bitwiseOR(r.cast("long")))
-        return F.when(F.length(text) < q, F.array().cast("array<bigint>")).otherwise(F.transform(steps, code))
+
+        def codes(ranks: Column) -> Column:
+            # each code from q ranks: at most 64 steps
+            code = lambda i: F.aggregate(F.slice(ranks, i, F.lit(q)), F.lit(0).cast("long"), lambda a, r: F.shiftleft(a, bits).bitwiseOR(r.cast("long")))
+            return F.transform(steps, code)
+
+        # as a lambda's argument the ranks are computed once, not for every step
+        bound = F.transform(F.array(self.transform(text)), codes)[0]
+        return F.when(F.length(text) < q, F.array().cast("array<bigint>")).otherwise(bound)
 
     def rev_qgrams(self, q: int, text: Column) -> Column:
         return F.reverse(self.qgrams(q, text))

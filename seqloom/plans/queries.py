@@ -309,8 +309,9 @@ def _pairs(source: Query) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         d = source(spark, sf)
         after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("target"))
-        # a task takes pairs of like size, dealt so that long ones spread
-        return d.withColumnRenamed("seq", "query").join(after, "doc_id").repartition(F.col("doc_id"))
+        # few bytes, much work: a fixed number of partitions, which Spark doesn't merge
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return d.withColumnRenamed("seq", "query").join(after, "doc_id").repartition(tasks, "doc_id")
 
     return run
 
