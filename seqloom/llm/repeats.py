@@ -35,7 +35,7 @@ from seqloom.llm.common import ref, stage
 
 GRAM = 100
 SHALLOW = 64
-GROUP = 256
+GROUP = 4096
 CHUNK = 1 << 18
 #: Rows of a batch that a worker handles at once.
 SLICE = 256
