@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontaminate, quality, repeats, simhash
+from seqloom.llm import bpe, decontaminate, quality, repeats, shingles, simhash
 from seqloom.llm.common import fresh, ref, stage
 from seqloom.llm.vocabularies import vocabulary
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group linked by five-word shingles at least 0.8 alike (Jaccard), that of the smallest doc_id."""
+    return simhash.keep_one(docs, groups=shingles.similar_texts)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,9 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest id; of rows alike in id and text, one."""
-    marked = near_duplicates(docs, id_col, text_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
+    """docs with one row of each group that groups() finds (near-duplicates): that of the smallest id; of rows alike in id and text, one."""
+    marked = groups(docs, id_col, text_col)
     # where all of a group's ids are null, any one text of it stays: the least hash
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("th").alias("__th"))
     void = -(2**63)

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.llm import bpe, decontaminate, licenses, quality, repeats, sharding, simhash, tokens, urls, warc
+from seqloom.llm import bpe, decontaminate, licenses, quality, repeats, sharding, shingles, simhash, tokens, urls, warc
 from seqloom.llm.common import components
 from seqloom.llm.vocabularies import vocabulary
 
@@ -110,6 +110,41 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_stage_is_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = list(ODD)
+    for k in range(60):
+        base = words(rng, rng.choice([6, 40, 150, 400])).split()
+        for c in range(rng.randrange(1, 6)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 25)):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(9)}"
+            rows.append((100 + 10 * k + c, " ".join(own).title() if c % 2 else "\n".join(own)))
+    common = words(rng, 60)
+    rows += [(1000 + k, common + " " + words(rng, 40)) for k in range(60)]  # alike, but not as much as 0.8
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a, len(rows)) if sets[a] == sets[b] or len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= 0.8]
+    group = plain_components(pairs)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(i, least.get(group[k], i))
+    got = shingles.similar_texts(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, least.get(group[k])) for k, (i, _) in enumerate(rows))
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.get(g) for g in set(group.values()))
+    assert 60 < len(least) < len(rows) - 40
+    assert shingles.similar_texts(docs_of(spark, [])).count() == 0
+
+
 # -- sharding -----------------------------------------------------------------
 
 
