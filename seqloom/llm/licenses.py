@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,7 +61,8 @@ def winnow(h: np.ndarray, window: int = WINNOW) -> list[int]:
 def align(t: list[int], d: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Banded alignment of template t within d (ids, 0 matches nothing): template word i near d[i + shift].
 
-    Returns (matched words, first matched place, one past the last), for the most matches less half the gaps and mismatches.
+    Returns (matched words, first matched place, one past the last), for the most matches less half the gaps and mismatches;
+    of equals the one nearest the shift.
     """
     m, width = len(t), 2 * band + 1
     if shift >= 0 and d[shift : shift + m] == t:
@@ -69,7 +70,6 @@ def align(t: list[int], d: list[int], shift: int, band: int = BAND) -> tuple[int
     lo = shift - band  # of d at template word 0
     none = (-1e9, 0, -1, -1)
     row = [(0.0, 0, -1, -1)] * (width + 1)  # free start; score, matches, first, last
-    best = none
     for i in range(m):
         new = [none] * (width + 1)
         for k in range(width):
@@ -91,7 +91,7 @@ def align(t: list[int], d: list[int], shift: int, band: int = BAND) -> tuple[int
             new[k] = one
         new[width] = none
         row = new
-    best = max(row, key=lambda x: (x[1], x[0], -x[2]))
+    best = max(row, key=lambda x: (x[0], x[1], -abs(x[2] - shift), -x[2]))
     return best[1], best[2], best[3]
 
 
@@ -101,7 +101,7 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         self.coverage = coverage
         self.number: dict[str, int] = {}
-        self.names, self.words = [], []
+        self.names, self.words, self.counts = [], [], []
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, text in templates:
             words = _WORD.findall(text.lower())
@@ -115,9 +115,29 @@ class Scanner:
                 index[int(h[at])].append((len(self.names), at))
             self.names.append(name)
             self.words.append(ids)
+            self.counts.append(Counter(ids))
         self.index = dict(index)
         self.hashes = np.array(sorted(index), np.uint64)
 
+    def _matches(self, todo: list[tuple[int, int]], d: list[int]) -> set[tuple]:
+        """(template, matched words, coverage, first, end) of alignments near the shifts that cover enough."""
+        found = set()
+        for t, shift in todo:
+            m = len(self.words[t])
+            a, b = max(0, shift - BAND), min(len(d), shift + m + BAND)
+            if b - a < self.coverage * m or (Counter(d[a:b]) & self.counts[t]).total() < self.coverage * m:
+                continue  # too few of its words are there
+            n, first, end = align(self.words[t], d[a:b], shift - a)
+            if n and n / m >= self.coverage:
+                found.add((t, n, n / m, a + first, a + end))
+        return found
+
+    @staticmethod
+    def _beside(d: list[int], shift: int, m: int) -> bool:
+        """Whether words near the shift are in a match (-1), but not all of its own span."""
+        own = d[max(0, shift) : max(0, shift + m)]
+        return own.count(-1) < len(own) and -1 in d[max(0, shift - BAND) : shift + m + BAND]
+
     def scan(self, text: str) -> list[tuple[str, int, int, float, int, int]]:
         """(license, template, matched words, coverage, start, end): end is one past the last character."""
         low = text.lower()
@@ -131,33 +151,32 @@ class Scanner:
         if not len(h) or not len(self.hashes):
             return []
         near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, list[int]] = defaultdict(list)
         for p in np.flatnonzero((self.hashes[near] == h) & (h > 0)).tolist():
             for t, at in self.index[int(h[p])]:
-                hits[t].append((p - at, p))
+                hits[t].append(p - at)
         if not hits:
             return []
-        found, d = [], ids.tolist()
-        for t, own in hits.items():
-            ids_t, last = self.words[t], None
-            for shift, _ in sorted(own):
-                if last is not None and shift - last <= BAND // 2:
-                    continue  # in the band of the one before
-                last = shift
-                a, b = max(0, shift - BAND), min(len(d), shift + len(ids_t) + BAND)
-                n, first, end = align(ids_t, d[a:b], shift - a)
-                if n and n / len(ids_t) >= self.coverage:
-                    found.append((t, n, n / len(ids_t), a + first, a + end))
-        # of matches that overlap, the one with the most matched words stays
+        d = ids.tolist()
+        todo = [(t, shift) for t, own in hits.items() for shift in sorted(set(own))]
         kept: list[tuple] = []
         starts: list[int] = []  # of those kept, in order; they don't overlap
         ends: list[int] = []
-        for x in sorted(set(found), key=lambda x: (-x[1], -x[2], x[3], x[0])):
-            k = bisect_right(starts, x[3])
-            if (k == 0 or ends[k - 1] <= x[3]) and (k == len(starts) or starts[k] >= x[4]):
-                starts.insert(k, x[3])
-                ends.insert(k, x[4])
-                kept.append(x)
+        while found := self._matches(todo, d):
+            # of matches that overlap, the one with the most matched words stays
+            before = len(kept)
+            for x in sorted(found, key=lambda x: (-x[1], -x[2], x[3], x[0])):
+                k = bisect_right(starts, x[3])
+                if (k == 0 or ends[k - 1] <= x[3]) and (k == len(starts) or starts[k] >= x[4]):
+                    starts.insert(k, x[3])
+                    ends.insert(k, x[4])
+                    kept.append(x)
+            if len(kept) == before:
+                break
+            # a neighbour may lie in the band of a match: look again beside what is kept
+            for x in kept[before:]:
+                d[x[3] : x[4]] = [-1] * (x[4] - x[3])
+            todo = [(t, s) for t, s in todo if self._beside(d, s, len(self.words[t]))]
         if not kept:
             return []
         spans = [m.span() for m in _WORD.finditer(text if len(low) != len(text) else low)]

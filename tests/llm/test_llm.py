@@ -300,6 +300,31 @@ def test_licenses(spark):
     assert licenses.licenses(docs_of(spark, [])).count() == 0
 
 
+def test_neighbouring_licence_lines_are_all_found():
+    """Every line of a run of whole and edited notices, against the places where they were put."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit = "Released under the MIT License."
+    for k in range(1, 12):
+        assert [(x[0], x[4]) for x in scanner.scan(" ".join([mit] * k))] == [("MIT", len(mit + " ") * i) for i in range(k)]
+    rng = random.Random(15)
+    lines = [(n, t) for n, t in licenses.TEMPLATES if 4 < len(t.split()) < 13]
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 7)):
+            name, line = rng.choice(lines)
+            own = line.rstrip(".").split()
+            lo, hi = 0, len(own)
+            if rng.random() < 0.6 and len(own) > 7:
+                at = rng.randrange(len(own))
+                own[at] = "qqq"
+                lo, hi = lo + (at == 0), hi - (at == len(own) - 1)
+            spare = "" if rng.random() < 0.7 else words(rng, rng.randrange(1, 9)) + " "
+            start = len(text) + len(spare) + len("".join(w + " " for w in own[:lo]))
+            want.append((name, start, start + len(" ".join(own[lo:hi]))))
+            text += spare + " ".join(own) + " "
+        assert [(x[0], x[4], x[5]) for x in scanner.scan(text)] == want, text
+
+
 # -- URLs ---------------------------------------------------------------------
 
 URLS = [None, "", "nothing", "https://A.Example.NET/en/x?y#z", "http://net/a", "http://netx/a", "https://b.example.com/de/1", "https://b.example.com/DE/1", "x://ORG", "ftp://a.org/fr/", "a://b://c/d", "https://h.net", "https://user@h.net:80/p", "https://é.net/ü?q"]
