@@ -26,9 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes or more that occur elsewhere too; a character cut through goes."""
+    """All documents, without passages of over 50 words, or of 400 bytes or more, that occur elsewhere too; a character cut through goes."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = repeats.remove_repeats(docs, carry=others)
+    found = repeats.remove_repeats(docs, carry=others, words=51)
 
     @F.pandas_udf("string")
     def as_text(kept):

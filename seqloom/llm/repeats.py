@@ -16,10 +16,15 @@ only windows of segments with equal anchor hashes can be equal.
    length the best common left length, hence all windows that occur twice.
 4. An anchor with more than GROUP distinct segments isn't gathered: its windows are
    counted by digest, summed before the shuffle, with the same result.
+
+Passages can be measured in words too: a text then stands as the 32-bit codes of its words, and
+windows of so many codes are found in the same way. Two windows that differ in one word pass as equal
+with a probability of 2**-32.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +39,9 @@ from pyspark.sql import types as T
 from seqloom.llm.common import ref, stage
 
 GRAM = 100
+#: Of word codes: 15 words.
+WORD_GRAM = 60
+WORD = 4
 SHALLOW = 64
 GROUP = 4096
 CHUNK = 1 << 18
@@ -96,10 +104,27 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _segments(length: int, gram: int):
+def word_codes(text: bytes, known: dict[bytes, bytes]) -> bytes:
+    words = text.split()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh32_digest(w)
+    return b"".join(map(known.__getitem__, words))
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        known: dict[bytes, bytes] = {}
+        for k in range(0, len(whole), SLICE):
+            b = whole.slice(k, SLICE)
+            raw = [word_codes(t.as_py(), known) for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(raw, pa.binary()), b.column("parts")], ["key", "raw", "parts"])
+
+
+def _segments(length: int, gram: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, digest = Anchors(length, gram), xxhash.xxh3_64_intdigest
         for b in batches:
+            known: dict[bytes, bytes] = {}
             times = Counter(b.column("key").to_pylist())  # a copy in this batch counts, and isn't cut again
             for k in range(0, len(b), SLICE):
                 part = b.slice(k, SLICE)
@@ -109,6 +134,7 @@ def _segments(length: int, gram: int):
                     if not n:
                         continue
                     text = part.column("text")[i].as_buffer().to_pybytes()
+                    text = word_codes(text, known) if coded else text
                     own = cut(text)
                     keys += [key] * len(own)
                     docs += [doc] * len(own)
@@ -329,9 +355,13 @@ def _windows(length: int):
     return run
 
 
-def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """(key, lo, hi): window starts lo..hi of the text of this key that also start elsewhere. keyed: (doc_id, key, text), key standing for the text."""
-    segments = stage(keyed.where(F.octet_length("text") >= length).mapInArrow(_segments(length, gram), "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int"), "segments")
+def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM, coded: bool = False) -> DataFrame:
+    """(key, lo, hi): window starts lo..hi of the text of this key that also start elsewhere. keyed: (doc_id, key, text), key standing for the text.
+
+    coded: windows are of the text's word codes. Each task does this itself, so a stage needs no second set of workers.
+    """
+    shortest = length // 2 - 1 if coded else length  # a code stands for a letter and a space at least
+    segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(length, gram, coded), "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int"), "segments")
     anchors = segments.groupBy("h").agg(F.sum("n").alias("total"), (F.min("dig") != F.max("dig")).alias("many"))
     # written first: a join straight on the sums could not split a hot anchor's segments
     anchors = stage(anchors.where("total > 1").select("h", "many"), "anchors")
@@ -347,7 +377,9 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
     sizes = stage(sizes, "anchor-sizes")
     wanted = distinct.join(sizes, "h").groupBy("key", "doc_id").agg(F.collect_list(F.struct("h", "dig", "n", "lo", "hi", "at", "many")).alias("parts"))
     wanted = stage(wanted.withColumnRenamed("doc_id", "by"), "wanted-segments")
-    cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
+    cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", F.col("text"), "parts")
+    cut = cut.mapInArrow(_coded, f"key binary, raw binary, parts {wanted.schema['parts'].dataType.simpleString()}") if coded else cut.withColumn("raw", F.col("text").cast("binary"))
+    cut = cut.select("key", "raw", F.explode("parts").alias("p"))
     cut = stage(cut.select("key", "p.*", F.expr(f"substring(raw, p.lo + 1, p.hi - p.lo + {length})").alias("seg")), "segment-bytes")
     near = cut.where(F.col("many") <= GROUP).select("h", "dig", "n", "key", "lo", "at", "seg").repartition("h").sortWithinPartitions("h")
     compared = near.mapInArrow(_compare(length, gram), "key binary, lo int, hi int")
@@ -358,14 +390,14 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM) -> DataF
     return alike.unionByName(full).unionByName(compared).unionByName(counted)
 
 
-def cut_out(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of the text without the windows that start in spans, and the maximal runs removed."""
+def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of the text without the bytes in spans, and the maximal runs removed."""
     runs: list[list[int]] = []
     for lo, hi in sorted(spans):
         if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi + length)
+            runs[-1][1] = max(runs[-1][1], hi)
         else:
-            runs.append([lo, hi + length])
+            runs.append([lo, hi])
     kept, at = [], 0
     for lo, hi in runs:
         kept.append(text[at:lo])
@@ -374,14 +406,15 @@ def cut_out(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[byt
     return b"".join(kept), [(lo, hi) for lo, hi in runs]
 
 
-def _cut(length: int):
+def _cut(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), SLICE):
                 b = whole.slice(k, SLICE)
                 kept, removed = [], []
                 for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
-                    left, runs = cut_out(text, [(s["lo"], s["hi"]) for s in spans or ()], length)
+                    own = [(s["lo"], s["hi"] + length) for s in spans or () if not s["of_words"]]
+                    left, runs = cut_out(text, own + word_spans(text, [(s["lo"], s["hi"]) for s in spans or () if s["of_words"]], words))
                     kept.append(left)
                     removed.append([{"start": lo, "end": hi} for lo, hi in runs])
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "n_bytes", "kept", "removed"])
@@ -389,11 +422,20 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400) -> DataFrame:
+def word_spans(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Byte runs of the text's words that windows of word codes, starting in spans, cover."""
+    if not spans:
+        return []
+    at = [m.span() for m in re.finditer(rb"\S+", text)]
+    return [(at[-(-lo // WORD)][0], at[hi // WORD + words - 1][1]) for lo, hi in spans if -(-lo // WORD) <= hi // WORD]
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400, words: int | None = None) -> DataFrame:
     """Every row of docs as (row: struct of the carried columns, n_bytes, kept binary, removed array of byte runs).
 
     Each byte that a window of `length` bytes covers which also starts elsewhere, in this
-    document or another, is removed; windows are judged on the input. Null text: empty.
+    document or another, is removed; windows are judged on the input. So is, with `words`,
+    each run of that many words (between ASCII spaces, whatever these are) that is there twice. Null text: empty.
     Copies of a long text lose all of it, whatever their ids. Repeated rows are copies.
     Texts shorter than the window stay whole. An empty table gives an empty result.
     Carried columns (all but the text by default) may have any names.
@@ -402,8 +444,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     spans = repeat_spans(keyed.select("doc_id", "key", "text"), length)
-    spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    spans = spans.select("key", "lo", "hi", F.lit(False).alias("of_words"))
+    if words:
+        found = repeat_spans(keyed.select("doc_id", "key", "text"), WORD * words, WORD_GRAM, coded=True)
+        spans = spans.unionByName(found.select("key", "lo", "hi", F.lit(True).alias("of_words")))
+    spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("spans")), "spans")
     joined = keyed.join(spans, "key", "left").select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
     kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    out = joined.mapInArrow(_cut(length), kind)
+    out = joined.mapInArrow(_cut(length, words or 0), kind)
     return out.select(F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] or [F.lit(0).alias("_")]).alias("row"), "n_bytes", "kept", "removed")

@@ -219,6 +219,44 @@ def test_repeats(spark, group, monkeypatch):
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("group", [1024, 3])
+def test_passage_stage_takes_passages_of_over_50_words(spark, group, monkeypatch):
+    import re
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(13)
+    shared = [words(rng, n, 90) for n in (50, 51, 52, 60, 120)] + ["z" * 450, "a " * 55, " \n".join(words(rng, 70).split())]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            parts.append(words(rng, rng.randrange(1, 60), 5000))
+            if rng.random() < 0.5:
+                parts.append("  ".join(rng.choice(shared).split()[rng.randrange(3) :]) if rng.random() < 0.5 else rng.choice(shared))
+        texts.append(" ".join(parts))
+    texts += texts[:3] + ["é " * 52, "short one"]
+    rows = list(enumerate(texts)) + ODD
+
+    raw = [(t or "").encode() for _, t in rows]
+    times = Counter(tuple(w[i : i + 51]) for t in raw for w in [t.split()] for i in range(len(w) - 50))
+    want = Counter()
+    windows = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    for (i, _), t in zip(rows, raw):
+        mask = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if windows[t[k : k + 400]] > 1:
+                mask[k : k + 400] = b"\x01" * 400
+        at = [m.span() for m in re.finditer(rb"\S+", t)]
+        for k in range(len(at) - 50):
+            if times[tuple(t[a:b] for a, b in at[k : k + 51])] > 1:
+                mask[at[k][0] : at[k + 50][1]] = b"\x01" * (at[k + 50][1] - at[k][0])
+        want[i, bytes(c for c, m in zip(t, mask) if not m).decode("utf-8", "ignore")] += 1
+    got = corpus_pipeline.passage_dedup(spark, docs_of(spark, rows).repartition(5), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want
+
+
 def test_anchors_span_chunks(monkeypatch):
     rng = random.Random(2)
     text = bytes(rng.choice(b"abc") for _ in range(5000))
