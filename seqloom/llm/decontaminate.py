@@ -1,6 +1,6 @@
 """Benchmark leaks: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window of a document has an item's number of words. It leaks the item if the weighted
+A window of a document has an item's number of words; a document of fewer is one window. It leaks the item if the weighted
 (multiset) Jaccard similarity of their five-word shingles is at least 0.8. Windows with too few
 shingles of any item for that are passed over, which loses none. The others'
 fingerprints are looked up in eight blocks of eight bits: one that differs from an
@@ -131,10 +131,10 @@ class Items:
             return []
         codes, sums = _codes(words, known), {}
         for m, (width, items, blocks) in self.sized.items():
-            if width not in hits or len(words) < m:
+            n = min(m, len(words)) - width + 1  # shingles of a window; a text shorter than the item is one window
+            if width not in hits or n < self.least * (m - width + 1) - 1e-9:
                 continue
-            n = m - width + 1  # shingles of a window
-            need = math.ceil(2 * self.least * n / (1 + self.least) - 1e-9)
+            need = math.ceil(self.least * (n + m - width + 1) / (1 + self.least) - 1e-9)
             starts = np.flatnonzero(hits[width][n:] - hits[width][:-n] >= need)
             if not len(starts):
                 continue

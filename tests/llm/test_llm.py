@@ -435,6 +435,32 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_of(spark, rows), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    rng = random.Random(16)
+    items = [(k, words(rng, rng.choice([3, 5, 8, 30, 59, 90]), 300)) for k in range(40)]
+    rows = []
+    for i, text in items:
+        own = text.split()
+        rows += [(1000 * i + k, " ".join(own[a : len(own) - b])) for k, (a, b) in enumerate([(0, 0), (0, 1), (2, 2), (4, 0), (3, 6), (20, 5)])]
+        rows.append((1000 * i + 9, " ".join(own[:-1] + ["new"])))
+
+    def plain(text):
+        w, out = text.split(), []
+        for item, t in items:
+            b = t.split()
+            k = min(5, len(b))
+            grams = lambda x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+            sims = [decontaminate.similarity(grams(w[s : s + len(b)]), grams(b)) for s in range(max(1, len(w) - len(b) + 1))]
+            if max(sims) >= 0.8:
+                out.append((item, sims.index(max(sims)), max(sims)))
+        return out
+
+    want = Counter((i, x) for i, t in rows for x in plain(t))
+    got = decontaminate.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).selectExpr("doc_id", "explode(leaks) AS x").selectExpr("doc_id", "x.*").collect()
+    assert Counter((r.doc_id, (r.item_id, r.start, r.similarity)) for r in got) == want
+    assert sum(i % 1000 > 0 for i, _ in want) > 30
+
+
 # -- tokens and BPE -----------------------------------------------------------
 
 TEXTS = ["", " ", "Hello World's e\u0301é don't 12345\n\n  x", "ΣΑΣ Σ ς İstanbul ﬁ", "a\u00a0b\u2028c \x1c d\x85e", "<|endoftext|>x <|startoftext|> <|endoftext|", "😀 \u0301x 日本語テスト", "tab\tnew\r\nline   spaces   ", "\ufeffbom \u200b zero", "x" * 5000, "ab " * 3000, "\u0130\u0307 K\u212a ǅ", "Don't WE'LL x.'s ''d 'S é's naïve. ÀÉ, ß! ŉ ĲſS a1b22 a-b --'re"]
