@@ -209,6 +209,11 @@ class SeqFrame(_Frame):
             raise SequenceError("an empty frame can't be joined")
         return "".join(out)
 
+    def concat_by(self, group: Column, name: str = "g") -> DataFrame:
+        """(name, seq): the sequences of each group joined in order; a group without rows isn't there."""
+        parts = self.df.select(group.alias(name), "pos", "seq").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("parts"))
+        return parts.select(name, F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq"))
+
     def count_of(self, needle) -> DataFrame:
         """(pos, count) of occurrences that don't overlap; DNA and protein only."""
         if self.kind == "rna":

@@ -221,8 +221,7 @@ add("b5_take", lambda spark, sf: _batch(spark, sf).take([2, 0, 7, -1, 2]).df, f"
 
 def _concat(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences of each alignment group joined in order: concat of many frames at once."""
-    d = base.dna(spark, sf).withColumn("g", F.floor(F.col("doc_id") / GROUP).cast("long"))
-    return d.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return _batch(spark, sf).concat_by(F.floor(F.col("pos") / GROUP).cast("long"))
 
 
 add("b6_concat", _concat, f"WITH {DNA_SQL} SELECT doc_id // {GROUP} AS g, string_agg(seq, '' ORDER BY doc_id) AS seq FROM s GROUP BY 1")

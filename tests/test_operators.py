@@ -346,3 +346,9 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {(r.id, r.description, r.seq, r.valid, r.gc) for r in spark.table("stream_test").collect()}
     assert got == {("a", "x", "ACGT", True, 0.5), ("b", None, "A#", False, 0.0), ("c", None, "GG", True, 1.0)}
+
+
+def test_concat_by_group_is_concat_of_each(spark):
+    f = SeqFrame.of(spark, BATCH, "dna")
+    got = {r.g: r.seq for r in f.concat_by(F.col("pos") % 2).collect()}
+    assert got == {k: f[k::2].concat() for k in (0, 1)}
