@@ -9,6 +9,9 @@ import corpus_pipeline
 from seqloom.llm import bpe, decontaminate, licenses, quality, repeats, sharding, simhash, tokens, urls, warc
 from seqloom.llm.vocabularies import vocabulary
 
+#: A passage has over 50 words.
+PASSAGE_WORDS = 51
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,8 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return found.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Beside the 400-byte contract: bytes and runs of passages of over 50 words that are there twice (they stay in kept)."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"], words=PASSAGE_WORDS, cut_passages=False)
+    passages = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("passage_bytes"), F.size("passages").cast("long").alias("n_passages"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ SELECT doc_id, size, xor(list_reduce(list_transform(range(size - 1), lambda i: C
   'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM g, crc
 """
 
-REPEATS_SQL = """
+REPEATS_SQL = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
 r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
@@ -86,10 +91,18 @@ g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
 s AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM n GROUP BY ALL),
 e AS (SELECT s.doc_id, lo, hi, lead(lo) OVER (PARTITION BY s.doc_id ORDER BY lo) AS next FROM s),
+t AS (SELECT doc_id, unnest(x) AS x, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS x FROM documents)),
+b AS (SELECT doc_id, x, i, sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM t),
+x AS (SELECT doc_id, x, CAST(b AS BIGINT) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM b WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+y AS (SELECT doc_id, list(x ORDER BY j) AS x, list(b ORDER BY j) AS b FROM x GROUP BY doc_id HAVING count(*) >= 51),
+z AS (SELECT doc_id, j, b[j] - strlen(x[j]) AS lo, b[j + 50] AS hi, md5(array_to_string(x[j:j + 50], ' ')) AS k FROM (SELECT doc_id, x, b, unnest(range(1, len(x) - 49)) AS j FROM y)),
+p AS (SELECT doc_id, j, lo, hi, CASE WHEN j - lag(j) OVER (PARTITION BY doc_id ORDER BY j) <= 50 THEN 0 ELSE 1 END AS new FROM z WHERE k IN (SELECT k FROM z GROUP BY k HAVING count(*) > 1)),
+o AS (SELECT doc_id, count(*) AS n_passages, sum(hi - lo) AS passage_bytes FROM (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY j) AS run FROM p) GROUP BY doc_id, run) GROUP BY doc_id),
 k AS (SELECT e.doc_id, string_agg(substr(h, 2 * hi + 1, 2 * (coalesce(next, length(h) // 2) - hi)), '' ORDER BY lo) AS tail, min(lo) AS lo, count(*) AS n_spans, sum(hi - lo) AS removed FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE substr(h, 1, 2 * lo) || tail END)) AS kept_sha256
-FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE substr(h, 1, 2 * lo) || tail END)) AS kept_sha256,
+  CAST(coalesce(passage_bytes, 0) AS BIGINT) AS passage_bytes, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
 """
 
 

@@ -47,6 +47,8 @@ GROUP = 4096
 CHUNK = 1 << 18
 #: Rows of a batch that a worker handles at once.
 SLICE = 256
+#: Segments that a worker holds at once, about.
+ROWS = 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -63,7 +65,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Cuts texts into segments: (anchor hash, anchor, first window, last window) in text order."""
+    """Cuts texts into segments: (anchor hash, anchor, first window, last window) in text order, one after another."""
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram, self.span = length, gram, length - gram + 1
@@ -71,8 +73,8 @@ class Anchors:
         self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 2**64), n)
         self.code = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
-    def __call__(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        out: list[tuple[int, int, int, int]] = []
+    def __call__(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
+        held = None  # the last of a chunk, which may go on in the next
         raw = np.frombuffer(text, np.uint8)
         for at in range(0, len(raw) - self.length + 1, CHUNK):
             part = raw[at : at + CHUNK + self.length - 1]
@@ -92,12 +94,16 @@ class Anchors:
             owner = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
             cuts = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [n]))
             first = owner[cuts[:-1]]
-            for a, hv, lo, hi in zip((first + at).tolist(), h[first].tolist(), (cuts[:-1] + at).tolist(), (cuts[1:] - 1 + at).tolist()):
-                if out and out[-1][1] == a:  # a segment over the edge of a chunk
-                    out[-1] = (hv, a, out[-1][2], hi)
-                else:
-                    out.append((hv, a, lo, hi))
-        return out
+            for k in range(0, len(first), ROWS):
+                own, lows, highs = first[k : k + ROWS], cuts[k : k + ROWS], cuts[k + 1 : k + ROWS + 1]
+                for a, hv, lo, hi in zip((own + at).tolist(), h[own].tolist(), (lows[: len(own)] + at).tolist(), (highs - 1 + at).tolist()):
+                    if held and held[1] == a:
+                        lo = held[2]
+                    elif held:
+                        yield held
+                    held = (hv, a, lo, hi)
+        if held:
+            yield held
 
 
 def _signed(x: list[int]) -> pa.Array:
@@ -120,7 +126,17 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(raw, pa.binary()), b.column("parts")], ["key", "raw", "parts"])
 
 
+SEGMENTS = "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int, end int"
+
+
 def _segments(length: int, gram: int, coded: bool):
+    """A row for each segment; equal segments of a text that follow one another (it goes on periodically) are one row, n times, of windows lo to end."""
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), None, None, *[pa.int32()] * 4]
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(x) if k is None else pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, digest = Anchors(length, gram), xxhash.xxh3_64_intdigest
         for b in batches:
@@ -128,24 +144,26 @@ def _segments(length: int, gram: int, coded: bool):
             times = Counter(b.column("key").to_pylist())  # a copy in this batch counts, and isn't cut again
             for k in range(0, len(b), SLICE):
                 part = b.slice(k, SLICE)
-                keys, docs, ns, hs, ds, at, lo, hi = ([] for _ in range(8))
+                rows: list[list] = []
                 for i, (key, doc) in enumerate(zip(part.column("key").to_pylist(), part.column("doc_id").to_pylist())):
                     n = times.pop(key, 0)
                     if not n:
                         continue
                     text = part.column("text")[i].as_buffer().to_pybytes()
                     text = word_codes(text, known) if coded else text
-                    own = cut(text)
-                    keys += [key] * len(own)
-                    docs += [doc] * len(own)
-                    ns += [n] * len(own)
-                    for h, a, s, e in own:
-                        hs.append(h)
-                        ds.append(digest(text[s : e + length]))
-                        at.append(a)
-                        lo.append(s)
-                        hi.append(e)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(ns, pa.int32()), _signed(hs), _signed(ds), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["key", "doc_id", "n", "h", "dig", "at", "lo", "hi"])
+                    before = None
+                    for h, a, s, e in cut(text):
+                        d = digest(text[s : e + length])
+                        if before == (h, d):
+                            rows[-1][2] += n
+                            rows[-1][8] = e
+                            continue
+                        if len(rows) >= ROWS:
+                            yield batch(rows)
+                            rows = []
+                        rows.append([key, doc, n, h, d, a, s, e, e])
+                        before = h, d
+                yield batch(rows)
 
     return run
 
@@ -361,17 +379,17 @@ def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM, coded: b
     coded: windows are of the text's word codes. Each task does this itself, so a stage needs no second set of workers.
     """
     shortest = length // 2 - 1 if coded else length  # a code stands for a letter and a space at least
-    segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(length, gram, coded), "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int"), "segments")
+    segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(length, gram, coded), SEGMENTS), "segments")
     anchors = segments.groupBy("h").agg(F.sum("n").alias("total"), (F.min("dig") != F.max("dig")).alias("many"))
     # written first: a join straight on the sums could not split a hot anchor's segments
     anchors = stage(anchors.where("total > 1").select("h", "many"), "anchors")
     seen = stage(segments.join(anchors, "h"), "repeated-anchors")
-    alike = seen.where("not many").select("key", "lo", "hi")
+    alike = seen.where("not many").select("key", "lo", F.col("end").alias("hi"))
 
     mixed = seen.where("many")
     distinct = stage(mixed.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi", "at")).alias("r")).select("h", "dig", "n", "r.*"), "distinct-segments")
     # joins with hot keys are written one by one: in a union Spark would not split them
-    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", "hi"), "equal-segments")
+    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", F.col("end").alias("hi")), "equal-segments")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("many"))
     sizes = stage(sizes, "anchor-sizes")
@@ -406,18 +424,23 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
     return b"".join(kept), [(lo, hi) for lo, hi in runs]
 
 
-def _cut(length: int, words: int):
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(length: int, words: int, cut_passages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), SLICE):
                 b = whole.slice(k, SLICE)
-                kept, removed = [], []
+                kept, removed, passages = [], [], []
                 for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
                     own = [(s["lo"], s["hi"] + length) for s in spans or () if not s["of_words"]]
-                    left, runs = cut_out(text, own + word_spans(text, [(s["lo"], s["hi"]) for s in spans or () if s["of_words"]], words))
+                    of_words = word_spans(text, [(s["lo"], s["hi"]) for s in spans or () if s["of_words"]], words)
+                    left, runs = cut_out(text, own + of_words if cut_passages else own)
                     kept.append(left)
-                    removed.append([{"start": lo, "end": hi} for lo, hi in runs])
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "n_bytes", "kept", "removed"])
+                    for out, found in ((removed, runs), (passages, cut_out(text, of_words)[1])):
+                        out.append([{"start": lo, "end": hi} for lo, hi in found])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, RUNS), pa.array(passages, RUNS)], ["row", "n_bytes", "kept", "removed", "passages"])
 
     return run
 
@@ -430,14 +453,16 @@ def word_spans(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tu
     return [(at[-(-lo // WORD)][0], at[hi // WORD + words - 1][1]) for lo, hi in spans if -(-lo // WORD) <= hi // WORD]
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400, words: int | None = None) -> DataFrame:
-    """Every row of docs as (row: struct of the carried columns, n_bytes, kept binary, removed array of byte runs).
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400, words: int | None = None, cut_passages: bool = True) -> DataFrame:
+    """Every row of docs as (row: struct of the carried columns, n_bytes, kept binary, removed and passages: arrays of byte runs).
 
     Each byte that a window of `length` bytes covers which also starts elsewhere, in this
-    document or another, is removed; windows are judged on the input. So is, with `words`,
-    each run of that many words (between ASCII spaces, whatever these are) that is there twice. Null text: empty.
+    document or another, is removed; windows are judged on the input. With `words`, passages
+    are the runs covered by that many words (between ASCII spaces, whatever these are) that
+    are there twice; they are removed too, or with cut_passages=False only told (without `words`: none). Null text: empty.
     Copies of a long text lose all of it, whatever their ids. Repeated rows are copies.
     Texts shorter than the window stay whole. An empty table gives an empty result.
+    A very long text is cut piece by piece, a periodic one into one row a period's run.
     Carried columns (all but the text by default) may have any names.
     """
     carry = [c for c in docs.columns if c != text_col] if carry is None else carry
@@ -450,6 +475,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         spans = spans.unionByName(found.select("key", "lo", "hi", F.lit(True).alias("of_words")))
     spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("spans")), "spans")
     joined = keyed.join(spans, "key", "left").select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
-    kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    out = joined.mapInArrow(_cut(length, words or 0), kind)
-    return out.select(F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] or [F.lit(0).alias("_")]).alias("row"), "n_bytes", "kept", "removed")
+    runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.BinaryType()), T.StructField("removed", runs), T.StructField("passages", runs)])
+    out = joined.mapInArrow(_cut(length, words or 0, cut_passages), kind)
+    return out.select(F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] or [F.lit(0).alias("_")]).alias("row"), "n_bytes", "kept", "removed", "passages")
