@@ -1,17 +1,22 @@
 """Near-duplicates by SimHash, linked through vantage-point trees.
 
-Two fingerprints at most RADIUS bits apart differ in at most RADIUS // 2 bits of one
-of their two 32-bit halves. So each half has its own vantage-point tree, over the
-Hamming distance on that half (a pseudo-metric: the triangle bound holds). The upper
-levels are fitted on a bounded sample and deal fingerprints into shards: each has one
-home leaf, and visits those leaves before it whose side of a boundary lies within the
-radius. Inside a shard the same splitting goes on in memory, and full 64-bit distances
-decide. A shard returns a spanning star for each group of linked fingerprints, so
-output stays linear in its rows however dense a group is.
-
-The tree over halves needs about n^1.47 comparisons on unrelated fingerprints, one tree over all
-64 bits about n^1.62 (a band of radius 2 holds half of a 32-bit distance's
-distribution, one of radius 4 two thirds of a 64-bit one).
+Fingerprints are cut into blocks (halves of their 64-bit words). Two fingerprints that
+differ in at most `radius` bits differ in at most radius // blocks of some block, so each
+block has its own vantage-point tree, over the Hamming distance on that block (a
+pseudo-metric: the triangle bound holds). The upper levels are fitted on a bounded sample
+and deal fingerprints into shards: each has one home leaf, and visits those leaves before
+it whose side of a boundary lies within the block's radius. A leaf that its own block
+cannot divide further is dealt on by a tree over the whole distance. Inside a shard the
+same splitting goes on in memory, and full distances decide. A shard returns a spanning
+star for each group of linked fingerprints, so output stays linear in its rows however
+dense a group is.
+
+Rows may have a class such that links join equal or neighbouring classes only (of a set's
+size, say): each class has its own trees, and rows visit those of the class above.
+
+The tree over halves of 64 bits, radius 4, needs about n^1.47 comparisons on unrelated
+fingerprints, one tree over all 64 bits about n^1.62 (a band of radius 2 holds half of a
+32-bit distance's distribution, one of radius 4 two thirds of a 64-bit one).
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
 SAMPLE = 131072
 #: Of them in each leaf, at least: the levels stop where boundaries would rest on fewer.
 IN_LEAF = 16
-#: Fingerprints at home in a shard, about.
+#: Fingerprints at home in a shard, about. A leaf of four times as many is dealt on.
 SHARD = 8192
 BLOCK = 1 << 20
 
@@ -79,31 +84,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(_fingerprints(width), "doc_id long, th long, fp long")
 
 
-def _near(a: np.ndarray, v: int, mask: int) -> np.ndarray:
-    return np.bitwise_count((a ^ np.uint64(v)) & np.uint64(mask)).astype(np.int64)
+def distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Differing bits under the mask; the last axis holds a fingerprint's words."""
+    out = np.int16(0)
+    for w in np.flatnonzero(mask).tolist():
+        out = out + np.bitwise_count((a[..., w] ^ b[..., w]) & mask[w]).astype(np.int16)
+    return out
 
 
-def grow(sample: np.ndarray, mask: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vantage point and boundary of each inner node, as a heap: children of i are 2i+1 (within) and 2i+2."""
-    points, bounds = np.zeros(max(0, 2**depth - 1), np.uint64), np.zeros(max(0, 2**depth - 1), np.int64)
+def block_masks(words: int) -> list[np.ndarray]:
+    out = []
+    for w in range(words):
+        for half in HALVES:
+            out.append(np.zeros(words, np.uint64))
+            out[-1][w] = half
+    return out
+
+
+def grow(sample: np.ndarray, mask: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The vantage point and boundary of each inner node, as a heap: children of i are 2i+1 (within) and 2i+2. And the sample in each leaf."""
+    points, bounds = np.zeros((2**depth - 1, sample.shape[1]), np.uint64), np.zeros(2**depth - 1, np.int16)
     parts = {0: sample}
     for i in range(len(points)):
         own = parts.pop(i)
-        d = np.zeros(0, np.int64)
+        d = np.zeros(0, np.int16)
         if len(own):
             # of a few vantage points, that whose distances spread most
-            points[i] = max(own[:: max(1, len(own) // 8)][:8].tolist(), key=lambda v: (_near(own, v, mask).var(), v))
-            d = _near(own, int(points[i]), mask)
+            tried = own[:: max(1, len(own) // 8)][:8]
+            points[i] = max(tried, key=lambda v: (distance(own, v, mask).var(), v.tolist()))
+            d = distance(own, points[i], mask)
             bounds[i] = int(np.median(d))
         parts[2 * i + 1], parts[2 * i + 2] = own[d <= bounds[i]], own[d > bounds[i]]
-    return points, bounds
+    return points, bounds, [parts[2**depth - 1 + k] for k in range(2**depth)]
 
 
-def deal(fps: np.ndarray, points: np.ndarray, bounds: np.ndarray, mask: int, radius: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home): the home leaf of each row and the leaves before it that its ball reaches."""
-    row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
-    for _ in range(depth):
-        d = np.bitwise_count((fps[row] ^ points[node]) & np.uint64(mask)).astype(np.int64)
+def deal(fps: np.ndarray, home: np.ndarray, points: np.ndarray, bounds: np.ndarray, mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): of rows at home their leaf and the leaves before it that their ball reaches, of visitors all leaves that it reaches."""
+    row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    for _ in range(len(points).bit_length()):
+        d = distance(fps[row], points[node], mask)
         inner = d <= bounds[node]
         stay = np.where(home, inner, d - radius <= bounds[node])
         leave = np.where(home, ~inner, d + radius > bounds[node])
@@ -111,7 +130,7 @@ def deal(fps: np.ndarray, points: np.ndarray, bounds: np.ndarray, mask: int, rad
         row = np.concatenate((row[stay], row[leave], row[also]))
         node = np.concatenate((2 * node[stay] + 1, 2 * node[leave] + 2, 2 * node[also] + 1))
         home = np.concatenate((home[stay], home[leave], np.zeros(also.sum(), bool)))
-    return row, node - (2**depth - 1), home
+    return row, node - len(points), home
 
 
 class Links:
@@ -133,18 +152,38 @@ class Links:
                 self.root = up
 
 
-def link(fps: np.ndarray, home: np.ndarray, mask: int, half_radius: int, radius: int) -> np.ndarray:
-    """Roots of the groups that pairs within the radius form: home against home, and home against visitors."""
-    links = Links(len(fps))
+def link(fps: np.ndarray, home: np.ndarray, mask: np.ndarray, block_radius: int, radius: int) -> np.ndarray:
+    """Roots of the groups that pairs within both radii form: home against home, and home against visitors."""
+    links, whole = Links(len(fps)), np.full(fps.shape[1], 2**64 - 1, np.uint64)
+    at = int(np.flatnonzero(mask)[0])
+    block = np.ascontiguousarray(fps[:, at] & mask[at])
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        near = distance(fps[i], fps[j], whole) <= radius
+        if near.any():
+            links.add(i[near], j[near])
 
     def brute(a: np.ndarray, b: np.ndarray) -> None:
+        v = a[len(a) // 2]  # around one of them first
+        for own in (a, b):
+            near = own[np.bitwise_count(block[own] ^ block[v]) <= block_radius]
+            join(np.full(len(near), v), near)
         step = max(1, BLOCK // max(1, len(b)))
         for k in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(fps[a[k : k + step]][:, None] ^ fps[b][None, :]) <= radius)
-            if len(i):
-                links.add(a[k : k + step][i], b[j])
-
-    todo = [(h := np.flatnonzero(home), h, True), (h, np.flatnonzero(~home), False)]
+            own = a[k : k + step]
+            if fps.shape[1] == 1:
+                near = np.bitwise_count(fps[own] ^ fps[b, 0]) <= radius
+            else:
+                near = np.bitwise_count(block[own][:, None] ^ block[b]) <= block_radius
+            if 8 * np.count_nonzero(near) > near.size:  # a dense place: most are linked already
+                near &= links.root[own][:, None] != links.root[b]
+                if 8 * np.count_nonzero(near) > near.size:
+                    near &= distance(fps[own][:, None], fps[b], whole) <= radius
+            i, j = np.nonzero(near)
+            join(own[i], b[j])
+
+    start = np.flatnonzero(home)
+    todo = [(start, start, True), (start, np.flatnonzero(~home), False)]
     while todo:
         a, b, same = todo.pop()
         if not len(a) or not len(b):
@@ -152,14 +191,14 @@ def link(fps: np.ndarray, home: np.ndarray, mask: int, half_radius: int, radius:
         if len(a) * len(b) <= BLOCK:
             brute(a, b)
             continue
-        v = int(fps[a[len(a) // 2]])
-        da, db = _near(fps[a], v, mask), _near(fps[b], v, mask)
+        v = block[a[len(a) // 2]]
+        da, db = np.bitwise_count(block[a] ^ v).astype(np.int16), np.bitwise_count(block[b] ^ v).astype(np.int16)
         mu = int(np.median(da if len(a) >= len(b) else db))
         ai, bi = da <= mu, db <= mu
         if min(ai.mean(), bi.mean()) == 1 or max(ai.mean(), bi.mean()) == 0:
             mu -= 1
             ai, bi = da <= mu, db <= mu
-        near_in, near_out = lambda d: (d <= mu) & (d > mu - half_radius), lambda d: (d > mu) & (d <= mu + half_radius)
+        near_in, near_out = lambda d: (d <= mu) & (d > mu - block_radius), lambda d: (d > mu) & (d <= mu + block_radius)
         parts = [(a[ai], b[bi], same), (a[~ai], b[~bi], same), (a[near_in(da)], b[near_out(db)], False)]
         if not same:
             parts.append((a[near_out(da)], b[near_in(db)], False))
@@ -170,37 +209,73 @@ def link(fps: np.ndarray, home: np.ndarray, mask: int, half_radius: int, radius:
     return links.root
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(u, v) long edges that join all distinct fingerprints (column fp) within the radius; a spanning star for each group of a shard."""
-    n = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
-    fitted = np.zeros(0, np.uint64)
-    if depth:  # one in eight at most, and a bounded number
+class Forest:
+    """The trees of one block and class: an upper one over the block, and one over the whole distance below each heavy leaf."""
+
+    def __init__(self, sample: np.ndarray, mask: np.ndarray, block_radius: int, radius: int, n: int, shard: int):
+        def depth(n: float, own: np.ndarray) -> int:
+            return max(0, min(math.ceil(math.log2(max(1, n) / shard)), int(math.log2(max(1, len(own) // IN_LEAF)))))
+
+        self.mask, self.block_radius, self.radius = mask, block_radius, radius
+        self.whole = np.full(len(mask), 2**64 - 1, np.uint64)
+        self.points, self.bounds, leaves = grow(sample, mask, depth(n, sample))
+        each = n / max(1, len(sample))
+        self.below = {k: grow(own, self.whole, depth(len(own) * each, own))[:2] for k, own in enumerate(leaves) if len(own) * each > 4 * shard}
+
+    def deal(self, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, leaf, home = deal(fps, home, self.points, self.bounds, self.mask, self.block_radius)
+        leaf = leaf << 20
+        for k, (points, bounds) in self.below.items():
+            own = leaf == k << 20
+            if own.any():
+                r, below, h = deal(fps[row[own]], home[own], points, bounds, self.whole, self.radius)
+                row, leaf, home = np.concatenate((row[~own], row[own][r])), np.concatenate((leaf[~own], leaf[own][r] + below)), np.concatenate((home[~own], h))
+        return row, leaf, home
+
+
+def near_links(distinct: DataFrame, words: tuple[str, ...] = ("fp",), ident: str = "fp", radius: int = RADIUS, block_radius: int = RADIUS // 2, kind: str | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """(u, v) long edges that join all rows whose fingerprints (the words) are within block_radius in some half of a word, and within the radius as a whole; a spanning star for each group of a shard.
+
+    ident: a distinct long. kind: an int column; links join equal or neighbouring kinds only.
+    """
+    rows = distinct.select(F.col(ident).alias("id"), *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)], (F.col(kind) if kind else F.lit(0)).cast("int").alias("kind"))
+    names = [f"w{k}" for k in range(len(words))]
+    sizes = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    fitted, kinds = np.zeros((0, len(words)), np.uint64), np.zeros(0, np.int32)
+    if n > shard:  # one in eight at most, and a bounded number
         part = max(8, n // sample)
-        rows = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(part)) == 0).select("fp").limit(2 * sample).collect()
-        fitted = np.sort(np.array([r.fp for r in rows], np.int64)).view(np.uint64)
-        depth = min(depth, int(math.log2(max(1, len(fitted) // IN_LEAF))))
-    trees = [(mask, *grow(fitted, mask, depth)) for mask in HALVES]
-    half = radius // 2
+        found = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(part)) == 0).limit(2 * sample).toArrow().sort_by("id")
+        fitted = np.stack([found[w].to_numpy().view(np.uint64) for w in names], axis=1)
+        kinds = found["kind"].to_numpy()
+    masks = block_masks(len(words))
+    reach = (0, 1) if kind else (0,)  # a class's shards hold its rows, and those of the class below as visitors
+    forests = {c: [Forest(fitted[(kinds == c) | (kinds == c - 1) & bool(kind)], m, block_radius, radius, sizes[c] + (sizes.get(c - 1, 0) if kind else 0), shard) for m in masks] for c in sizes}
+    columns = ["tree", "kind", "leaf", "id", *names, "home"]
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column("fp").to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 4096):
-                own = fps[k : k + 4096]
-                for t, (mask, points, bounds) in enumerate(trees):
-                    row, leaf, home = deal(own, points, bounds, mask, half, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(leaf), pa.array(own[row].view(np.int64)), pa.array(home)], ["tree", "leaf", "fp", "home"])
+            for k in range(0, len(b), 4096):
+                part = b.slice(k, 4096)
+                ids, of = part.column("id").to_numpy(), part.column("kind").to_numpy()
+                fps = np.stack([part.column(w).to_numpy().view(np.uint64) for w in names], axis=1)
+                for c in np.unique(of).tolist():
+                    own = np.flatnonzero(of == c)
+                    for up in reach:
+                        for t, forest in enumerate(forests.get(c + up, ())):
+                            row, leaf, home = forest.deal(fps[own], np.full(len(own), not up))
+                            at = own[row]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(np.full(len(row), c + up, np.int32)), pa.array(leaf), pa.array(ids[at]), *[pa.array(fps[at, w].view(np.int64)) for w in range(len(names))], pa.array(home)], columns)
 
     def in_shard(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("fp")
-        fps, home = table["fp"].to_numpy().view(np.uint64), table["home"].to_numpy()
-        root = link(fps, home, HALVES[key[0].as_py()], half, radius)
+        table = table.sort_by("id")
+        fps, ids = np.stack([table[w].to_numpy().view(np.uint64) for w in names], axis=1), table["id"].to_numpy()
+        root = link(fps, table["home"].to_numpy(), masks[key[0].as_py()], block_radius, radius)
         own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": fps[own].view(np.int64), "v": fps[root[own]].view(np.int64)})
+        return pa.table({"u": ids[own], "v": ids[root[own]]})
 
-    dealt = distinct.select("fp").mapInArrow(to_shards, "tree int, leaf long, fp long, home boolean")
-    return dealt.groupBy("tree", "leaf").applyInArrow(in_shard, "u long, v long")
+    dealt = rows.mapInArrow(to_shards, f"tree int, kind int, leaf long, id long, {', '.join(f'{w} long' for w in names)}, home boolean")
+    return dealt.groupBy("tree", "kind", "leaf").applyInArrow(in_shard, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -212,9 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    groups = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
+    groups = components(near_links(distinct, radius=radius, block_radius=radius // 2)).withColumnRenamed("node", "fp")
     rooted = stage(distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first: a join straight on the sums could not split a hot root
+    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     of_fp = rooted.join(least, "root").select("fp", "root", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
