@@ -82,6 +82,10 @@ def text_of(name: str) -> Column:
     return F.coalesce(ref(name), F.lit(""))
 
 
+#: Edges in a written part of a round, about.
+EDGES = 1 << 16
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of (u, v) long edges by alternating large-star and small-star steps.
 
@@ -92,6 +96,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = stage(e, "edges")
+    few = max(1, e.count() // EDGES)  # a round has no more edges than the one before
     mark = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -99,7 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = stage(small, "edges")
+        e = stage(small.coalesce(few), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

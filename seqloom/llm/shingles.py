@@ -1,10 +1,10 @@
 """Near-duplicate texts: SimHash over sets of word shingles proposes groups through vantage-point trees, exact Jaccard similarity links inside them.
 
 A set's fingerprint has WORDS words of 64 bits. Bits of two sets as similar as 0.8 differ
-with probability acos(1.6 / 1.8) / pi = 0.1515 (fewer for more similar ones), so of 384 bits
-58 differ (standard deviation 7), and one of the twelve 32-bit blocks differs in at most
-BLOCK_RADIUS bits with probability 0.98. Sets as similar as 0.8 have sizes within that
-ratio: links join neighbouring classes of sizes only.
+with probability acos(1.6 / 1.8) / pi = 0.1515 (fewer for more similar ones): one of the 18
+blocks of 20 bits differs in at most one bit with probability 0.967 (0.994 for 0.85, over
+0.999 for 0.9), and of the first 192 bits 29 differ (standard deviation 5). Sets as similar
+as 0.8 have sizes within that ratio: links join neighbouring classes of sizes only.
 
 Candidates are only ever grouped. In a group each set is compared with one leader, whole
 set against whole set, in a pass linear in the rows. Those that aren't alike with the
@@ -30,13 +30,16 @@ from seqloom.llm.simhash import Links, near_links
 WIDTH = 5
 SIMILAR = 0.8
 WORDS = 6
-#: Three standard deviations above the mean distance of sets as similar as 0.8.
-RADIUS = 79
-BLOCK_RADIUS = 3
+BLOCKS = (0xFFFFF, 0xFFFFF << 20, 0xFFFFF << 40)
+BLOCK_RADIUS = 1
+#: Words whose whole distance is looked at, and a bound three standard deviations above that of sets as similar as 0.8.
+CHECKED, RADIUS = 3, 45
+#: Sets at home in a shard, about.
+SHARD = 16384
 #: Sets in a block, about: those not alike with their leader, and those that they are compared with.
 REST, OTHERS = 256, 1024
-#: Texts of a block compared with one at once.
-RUN = 256
+#: Codes compared with a set's at once, about.
+RUN = 1 << 18
 #: Text that a worker takes at once, longer rows aside.
 SLICE_BYTES = 1 << 20
 _ODD = np.random.default_rng(42).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,9 +68,10 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def size_class(n: int, least: float) -> int:
-    """Sizes within the ratio `least` of one another are in equal or neighbouring classes."""
-    return int(math.log(n) / (1e-9 - math.log(least))) if n else -2
+def size_class(n: int, least: float) -> tuple[int, bool]:
+    """(class, upper half): sizes within the ratio `least` of one another are in one class, or the smaller is in the upper half of the class below."""
+    at = math.log(n) / (1e-9 - 2 * math.log(least)) if n else -2.0
+    return math.floor(at), at % 1 >= 0.5 - 1e-9
 
 
 def linked(flat: np.ndarray, offsets: np.ndarray, asks: np.ndarray, least: float = SIMILAR) -> np.ndarray:
@@ -78,8 +82,8 @@ def linked(flat: np.ndarray, offsets: np.ndarray, asks: np.ndarray, least: float
         own = flat[offsets[i] : offsets[i + 1]]
         todo = np.flatnonzero(links.root != links.root[i])
         todo = todo[np.minimum(sizes[todo], sizes[i]) >= least * np.maximum(sizes[todo], sizes[i])]
-        for k in range(0, len(todo), RUN):
-            j = todo[k : k + RUN]
+        piece = np.cumsum(sizes[todo]) // RUN
+        for j in np.split(todo, np.flatnonzero(np.diff(piece)) + 1) if len(todo) else ():
             other, ends = take_lists(flat, offsets, j)
             same = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)))
             both = same[ends[1:]] - same[ends[:-1]]
@@ -89,7 +93,7 @@ def linked(flat: np.ndarray, offsets: np.ndarray, asks: np.ndarray, least: float
 
 
 def _sketches(width: int, least: float):
-    names = ["doc_id", "th", "sh", "kind", *[f"f{k}" for k in range(WORDS)]]
+    names = ["doc_id", "th", "sh", "kind", "up", *[f"f{k}" for k in range(WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,7 +108,7 @@ def _sketches(width: int, least: float):
                     out.append(seen[th])
                 sets = pa.array(np.array([x for x, _, _ in out], np.uint64).view(np.int64))
                 fps = np.array([f for _, _, f in out], np.uint64).reshape(-1, WORDS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), sets, pa.array([c for _, c, _ in out], pa.int32()), *[pa.array(fps[:, k]) for k in range(WORDS)]], names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), sets, pa.array([c for _, (c, _), _ in out], pa.int32()), pa.array([u for _, (_, u), _ in out], pa.bool_()), *[pa.array(fps[:, k]) for k in range(WORDS)]], names)
 
     return run
 
@@ -136,12 +140,12 @@ def exact_links(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(u, v) edges that join all sets of a group (near: its least sh) with a Jaccard similarity of at least `least`. sets: (sh, near, codes: distinct codes in order)."""
     leaders = sets.where("sh = near").select("near", F.col("codes").alias("lead"))
     both = F.size(F.array_intersect("codes", "lead"))
-    judged = sets.where("sh <> near").join(leaders, "near").select("sh", "near", (both >= least * (F.size("codes") + F.size("lead") - both)).alias("alike"))
+    judged = sets.where("sh <> near").join(leaders, "near").select("sh", "near", "codes", (both >= least * (F.size("codes") + F.size("lead") - both)).alias("alike"))
     judged = stage(judged, "judged")
     # sets that aren't alike with the leader ask all others of the group, in blocks
     sizes = judged.groupBy("near").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("asking")).where("asking > 0")
     sizes = stage(sizes.select("near", F.expr(f"1 + asking div {REST}").cast("int").alias("rest"), F.expr(f"1 + n div {OTHERS}").cast("int").alias("others")), "asking")
-    group = sets.join(judged.select("sh", F.col("alike")), "sh").join(sizes, "near")
+    group = judged.join(sizes, "near")
     part = lambda n, seed: F.pmod(F.xxhash64("sh", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = group.where("not alike").select("near", part("rest", 1).alias("b"), every("others").alias("o"), "sh", "codes", F.lit(True).alias("asks"))
@@ -156,20 +160,20 @@ def exact_links(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, th, root (the group), component_id (smallest id reachable over pairs of texts whose shingle sets have a Jaccard similarity of at least `least`).
 
-    The trees find a pair as similar as 0.8 with a probability of 0.98, more similar ones more
-    surely and equal sets always (sets of four and of five shingles: 0.69, measured); no pair
-    below is linked. Nulls: a null text is empty;
+    The trees find a pair as similar as 0.8 with a probability of 0.967, more similar ones more
+    surely and equal sets always (see the module; less surely sets of under nine shingles); no
+    pair below is linked. Nulls: a null text is empty;
     texts without words are alike. A null id never is the smallest while another is there.
     Repeated rows stay repeated; ties go to the smallest id. Very long texts are handled one at
     a time. An empty table gives an empty result. Other columns are not read.
     """
     slim = docs.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     fps = [f"f{k}" for k in range(WORDS)]
-    keyed = stage(slim.mapInArrow(_sketches(width, least), f"doc_id long, th long, sh long, kind int, {', '.join(f'{f} long' for f in fps)}"), "keyed")
-    distinct = stage(keyed.groupBy("sh").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), *[F.min(c).alias(c) for c in ("kind", *fps)]), "sets")
-    near = components(near_links(distinct, tuple(fps), "sh", RADIUS, BLOCK_RADIUS, "kind")).select(F.col("node").alias("sh"), F.col("root").alias("near"))
+    keyed = stage(slim.mapInArrow(_sketches(width, least), f"doc_id long, th long, sh long, kind int, up boolean, {', '.join(f'{f} long' for f in fps)}"), "keyed")
+    distinct = stage(keyed.groupBy("sh").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), *[F.min(c).alias(c) for c in ("kind", "up", *fps)]), "sets")
+    near = components(near_links(distinct, tuple(fps), "sh", RADIUS, BLOCK_RADIUS, BLOCKS, CHECKED, "kind", "up", shard=SHARD)).select(F.col("node").alias("sh"), F.col("root").alias("near"))
     wanted = stage(distinct.join(near, "sh").select("sh", "near", "th"), "wanted")
-    texts = slim.join(wanted, "th").dropDuplicates(["sh"]).select("sh", "near", "text")
+    texts = slim.join(wanted, "th").dropDuplicates(["th", "sh"]).select("sh", "near", "text")
     sets = stage(texts.mapInArrow(_sets(width), "sh long, near long, codes array<long>"), "codes")
     groups = components(exact_links(sets, least)).withColumnRenamed("node", "sh")
     rooted = stage(distinct.join(groups, "sh", "left").select("sh", "first", F.coalesce("root", "sh").alias("root")), "rooted")

@@ -1,6 +1,6 @@
 """Near-duplicates by SimHash, linked through vantage-point trees.
 
-Fingerprints are cut into blocks (halves of their 64-bit words). Two fingerprints that
+Fingerprints are cut into blocks (halves of a 64-bit word, say). Two fingerprints that
 differ in at most `radius` bits differ in at most radius // blocks of some block, so each
 block has its own vantage-point tree, over the Hamming distance on that block (a
 pseudo-metric: the triangle bound holds). The upper levels are fitted on a bounded sample
@@ -12,7 +12,7 @@ star for each group of linked fingerprints, so output stays linear in its rows h
 dense a group is.
 
 Rows may have a class such that links join equal or neighbouring classes only (of a set's
-size, say): each class has its own trees, and rows visit those of the class above.
+size, say): each class has its own trees, and rows may visit those of the class above.
 
 The tree over halves of 64 bits, radius 4, needs about n^1.47 comparisons on unrelated
 fingerprints, one tree over all 64 bits about n^1.62 (a band of radius 2 holds half of a
@@ -92,12 +92,12 @@ def distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_masks(words: int) -> list[np.ndarray]:
+def block_masks(words: int, parts: tuple[int, ...] = HALVES) -> list[np.ndarray]:
     out = []
     for w in range(words):
-        for half in HALVES:
+        for part in parts:
             out.append(np.zeros(words, np.uint64))
-            out[-1][w] = half
+            out[-1][w] = part
     return out
 
 
@@ -152,11 +152,9 @@ class Links:
                 self.root = up
 
 
-def link(fps: np.ndarray, home: np.ndarray, mask: np.ndarray, block_radius: int, radius: int) -> np.ndarray:
-    """Roots of the groups that pairs within both radii form: home against home, and home against visitors."""
+def link(fps: np.ndarray, block: np.ndarray, home: np.ndarray, block_radius: int, radius: int) -> np.ndarray:
+    """Roots of the groups that pairs within both radii (of a word, and of whole fingerprints) form: home against home, and home against visitors."""
     links, whole = Links(len(fps)), np.full(fps.shape[1], 2**64 - 1, np.uint64)
-    at = int(np.flatnonzero(mask)[0])
-    block = np.ascontiguousarray(fps[:, at] & mask[at])
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         near = distance(fps[i], fps[j], whole) <= radius
@@ -212,15 +210,14 @@ def link(fps: np.ndarray, home: np.ndarray, mask: np.ndarray, block_radius: int,
 class Forest:
     """The trees of one block and class: an upper one over the block, and one over the whole distance below each heavy leaf."""
 
-    def __init__(self, sample: np.ndarray, mask: np.ndarray, block_radius: int, radius: int, n: int, shard: int):
+    def __init__(self, sample: np.ndarray, mask: np.ndarray, whole: np.ndarray, block_radius: int, radius: int, n: int, shard: int):
         def depth(n: float, own: np.ndarray) -> int:
             return max(0, min(math.ceil(math.log2(max(1, n) / shard)), int(math.log2(max(1, len(own) // IN_LEAF)))))
 
-        self.mask, self.block_radius, self.radius = mask, block_radius, radius
-        self.whole = np.full(len(mask), 2**64 - 1, np.uint64)
+        self.mask, self.whole, self.block_radius, self.radius = mask, whole, block_radius, radius
         self.points, self.bounds, leaves = grow(sample, mask, depth(n, sample))
         each = n / max(1, len(sample))
-        self.below = {k: grow(own, self.whole, depth(len(own) * each, own))[:2] for k, own in enumerate(leaves) if len(own) * each > 4 * shard}
+        self.below = {k: grow(own, whole, depth(len(own) * each, own))[:2] for k, own in enumerate(leaves) if len(own) * each > 4 * shard}
 
     def deal(self, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, leaf, home = deal(fps, home, self.points, self.bounds, self.mask, self.block_radius)
@@ -233,48 +230,55 @@ class Forest:
         return row, leaf, home
 
 
-def near_links(distinct: DataFrame, words: tuple[str, ...] = ("fp",), ident: str = "fp", radius: int = RADIUS, block_radius: int = RADIUS // 2, kind: str | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(u, v) long edges that join all rows whose fingerprints (the words) are within block_radius in some half of a word, and within the radius as a whole; a spanning star for each group of a shard.
+def near_links(distinct: DataFrame, words: tuple[str, ...] = ("fp",), ident: str = "fp", radius: int = RADIUS, block_radius: int = RADIUS // 2, parts: tuple[int, ...] = HALVES, checked: int | None = None, kind: str | None = None, up: str | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """(u, v) long edges that join all rows whose fingerprints are within block_radius in some part of some word, and within the radius in the first `checked` words (all); a spanning star for each group of a shard.
 
-    ident: a distinct long. kind: an int column; links join equal or neighbouring kinds only.
+    ident: a distinct long. kind: an int column; links join rows of equal kinds, and rows where `up` is true to the kind above.
     """
-    rows = distinct.select(F.col(ident).alias("id"), *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)], (F.col(kind) if kind else F.lit(0)).cast("int").alias("kind"))
+    checked = checked or len(words)
+    rows = distinct.select(F.col(ident).alias("id"), *[F.col(w).alias(f"w{k}") for k, w in enumerate(words)], (F.col(kind) if kind else F.lit(0)).cast("int").alias("kind"), (F.col(up) if up else F.lit(False)).alias("up"))
     names = [f"w{k}" for k in range(len(words))]
-    sizes = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r.kind, r.up): r.n for r in rows.groupBy("kind", "up").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
-    fitted, kinds = np.zeros((0, len(words)), np.uint64), np.zeros(0, np.int32)
+    fitted, kinds, ups = np.zeros((0, len(words)), np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
     if n > shard:  # one in eight at most, and a bounded number
         part = max(8, n // sample)
         found = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(part)) == 0).limit(2 * sample).toArrow().sort_by("id")
         fitted = np.stack([found[w].to_numpy().view(np.uint64) for w in names], axis=1)
-        kinds = found["kind"].to_numpy()
-    masks = block_masks(len(words))
-    reach = (0, 1) if kind else (0,)  # a class's shards hold its rows, and those of the class below as visitors
-    forests = {c: [Forest(fitted[(kinds == c) | (kinds == c - 1) & bool(kind)], m, block_radius, radius, sizes[c] + (sizes.get(c - 1, 0) if kind else 0), shard) for m in masks] for c in sizes}
-    columns = ["tree", "kind", "leaf", "id", *names, "home"]
+        kinds, ups = found["kind"].to_numpy(), found["up"].to_numpy()
+    masks = block_masks(len(words), parts)
+    whole = np.array([2**64 - 1] * checked + [0] * (len(words) - checked), np.uint64)
+    # a class's shards hold its rows, and visitors from the class below
+    forests = {}
+    for c in {k for k, _ in sizes}:
+        own = fitted[(kinds == c) | (kinds == c - 1) & ups]
+        held = sizes.get((c, False), 0) + sizes.get((c, True), 0) + sizes.get((c - 1, True), 0)
+        forests[c] = [Forest(own, m, whole, block_radius, radius, held, shard) for m in masks]
+    carried = names[:checked]
+    columns = ["tree", "kind", "leaf", "id", "block", *carried, "home"]
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, len(b), 4096):
                 part = b.slice(k, 4096)
-                ids, of = part.column("id").to_numpy(), part.column("kind").to_numpy()
+                ids, of, up = part.column("id").to_numpy(), part.column("kind").to_numpy(), part.column("up").to_numpy(zero_copy_only=False)
                 fps = np.stack([part.column(w).to_numpy().view(np.uint64) for w in names], axis=1)
                 for c in np.unique(of).tolist():
-                    own = np.flatnonzero(of == c)
-                    for up in reach:
-                        for t, forest in enumerate(forests.get(c + up, ())):
-                            row, leaf, home = forest.deal(fps[own], np.full(len(own), not up))
-                            at = own[row]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(np.full(len(row), c + up, np.int32)), pa.array(leaf), pa.array(ids[at]), *[pa.array(fps[at, w].view(np.int64)) for w in range(len(names))], pa.array(home)], columns)
+                    for home, to, own in ((True, c, np.flatnonzero(of == c)), (False, c + 1, np.flatnonzero((of == c) & up))):
+                        for t, forest in enumerate(forests.get(to, ()) if len(own) else ()):
+                            row, leaf, at_home = forest.deal(fps[own], np.full(len(own), home))
+                            at, w = own[row], t // len(parts)
+                            block = fps[at, w] & masks[t][w]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(np.full(len(row), to, np.int32)), pa.array(leaf), pa.array(ids[at]), pa.array(block.view(np.int64)), *[pa.array(fps[at, k].view(np.int64)) for k in range(checked)], pa.array(at_home)], columns)
 
     def in_shard(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        fps, ids = np.stack([table[w].to_numpy().view(np.uint64) for w in names], axis=1), table["id"].to_numpy()
-        root = link(fps, table["home"].to_numpy(), masks[key[0].as_py()], block_radius, radius)
+        fps, ids = np.stack([table[w].to_numpy().view(np.uint64) for w in carried], axis=1), table["id"].to_numpy()
+        root = link(fps, table["block"].to_numpy().view(np.uint64), table["home"].to_numpy(), block_radius, radius)
         own = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": ids[own], "v": ids[root[own]]})
 
-    dealt = rows.mapInArrow(to_shards, f"tree int, kind int, leaf long, id long, {', '.join(f'{w} long' for w in names)}, home boolean")
+    dealt = rows.mapInArrow(to_shards, f"tree int, kind int, leaf long, id long, block long, {', '.join(f'{w} long' for w in carried)}, home boolean")
     return dealt.groupBy("tree", "kind", "leaf").applyInArrow(in_shard, "u long, v long")
 
 
