@@ -17,9 +17,9 @@ only windows of segments with equal anchor hashes can be equal.
 4. An anchor with more than GROUP distinct segments isn't gathered: its windows are
    counted by digest, summed before the shuffle, with the same result.
 
-Passages can be measured in words too: a text then stands as the 32-bit codes of its words, and
-windows of so many codes are found in the same way. Two windows that differ in one word pass as equal
-with a probability of 2**-32.
+Passages can be measured in words too: a text then stands as the 32-bit codes of its words as well, and
+windows of so many codes are found in the same way and the same pass; the last bit of an anchor's hash
+tells the kinds apart. Two windows that differ in one word pass as equal with a probability of 2**-32.
 """
 
 from __future__ import annotations
@@ -117,28 +117,23 @@ def word_codes(text: bytes, known: dict[bytes, bytes]) -> bytes:
     return b"".join(map(known.__getitem__, words))
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        known: dict[bytes, bytes] = {}
-        for k in range(0, len(whole), SLICE):
-            b = whole.slice(k, SLICE)
-            raw = [word_codes(t.as_py(), known) for t in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(raw, pa.binary()), b.column("parts")], ["key", "raw", "parts"])
+SEGMENTS = "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int, end int"
 
 
-SEGMENTS = "key binary, doc_id long, n int, h long, dig long, at int, lo int, hi int, end int"
+#: Length and gram of the windows of each kind: of bytes, of word codes.
+Kinds = list[tuple[int, int]]
 
 
-def _segments(length: int, gram: int, coded: bool):
+def _segments(kinds: Kinds):
     """A row for each segment; equal segments of a text that follow one another (it goes on periodically) are one row, n times, of windows lo to end."""
     names = [c.split()[0] for c in SEGMENTS.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int32(), None, None, *[pa.int32()] * 4]
+    types = [pa.binary(), pa.int64(), pa.int32(), None, None, *[pa.int32()] * 4]
 
     def batch(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_signed(x) if k is None else pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+        return pa.RecordBatch.from_arrays([_signed(x) if t is None else pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(names), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, digest = Anchors(length, gram), xxhash.xxh3_64_intdigest
+        cuts, digest = [Anchors(*kind) for kind in kinds], xxhash.xxh3_64_intdigest
         for b in batches:
             known: dict[bytes, bytes] = {}
             times = Counter(b.column("key").to_pylist())  # a copy in this batch counts, and isn't cut again
@@ -150,24 +145,56 @@ def _segments(length: int, gram: int, coded: bool):
                     if not n:
                         continue
                     text = part.column("text")[i].as_buffer().to_pybytes()
-                    text = word_codes(text, known) if coded else text
-                    before = None
-                    for h, a, s, e in cut(text):
-                        d = digest(text[s : e + length])
-                        if before == (h, d):
-                            rows[-1][2] += n
-                            rows[-1][8] = e
-                            continue
-                        if len(rows) >= ROWS:
-                            yield batch(rows)
-                            rows = []
-                        rows.append([key, doc, n, h, d, a, s, e, e])
-                        before = h, d
+                    for of_words, cut in enumerate(cuts):
+                        raw, before = word_codes(text, known) if of_words else text, None
+                        for h, a, s, e in cut(raw):
+                            h, d = h & ~1 | of_words, digest(raw[s : e + cut.length])
+                            if before == (h, d):
+                                rows[-1][2] += n
+                                rows[-1][8] = e
+                                continue
+                            if len(rows) >= ROWS:
+                                yield batch(rows)
+                                rows = []
+                            rows.append([key, doc, n, h, d, a, s, e, e])
+                            before = h, d
                 yield batch(rows)
 
     return run
 
 
+PARTS = "key binary, h long, dig long, n long, lo int, at int, many long, seg binary"
+
+
+def _bytes_of(kinds: Kinds):
+    """The bytes of the wanted segments of each text."""
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            known: dict[bytes, bytes] = {}
+            for k in range(0, len(whole), SLICE):
+                b = whole.slice(k, SLICE)
+                rows = []
+                for key, text, parts in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), b.column("parts")):
+                    raw, codes = text.as_py(), None
+                    for p in parts.as_py():
+                        of_words = p["h"] & 1
+                        if of_words and codes is None:
+                            codes = word_codes(raw, known)
+                        rows.append((key, p["h"], p["dig"], p["n"], p["lo"], p["at"], p["many"], (codes if of_words else raw)[p["lo"] : p["hi"] + kinds[of_words][0]]))
+                    if len(rows) >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], names)
+
+    return run
+
+
+TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     n = min(len(a), len(b))
     if a[start:n] == b[start:n]:
@@ -331,7 +358,7 @@ def repeated_windows(members: list[tuple[bytes, int]], length: int, gram: int) -
     return found
 
 
-def _compare(length: int, gram: int):
+def _compare(kinds: Kinds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 
@@ -339,9 +366,9 @@ def _compare(length: int, gram: int):
             rows = []
             if len(held) > 1:
                 own = list(held.values())
-                for (key, n, lo, _, _), runs in zip(own, repeated_windows([(seg, at) for _, _, _, at, seg in own], length, gram)):
+                for (key, n, lo, _, _), runs in zip(own, repeated_windows([(seg, at) for _, _, _, at, seg in own], *kinds[now & 1])):
                     if n == 1:
-                        rows += [(key, lo + a, lo + b) for a, b in runs]
+                        rows += [(key, lo + a, lo + b, now & 1) for a, b in runs]
             return rows
 
         for b in batches:
@@ -357,15 +384,16 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _spans(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["key", "lo", "hi"])
+def _spans(rows: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] == 1 for r in rows], pa.bool_())], ["key", "lo", "hi", "of_words"])
 
 
-def _windows(length: int):
+def _windows(kinds: Kinds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             for h, n, key, lo, at, seg in zip(*(b.column(c).to_pylist() for c in ("h", "n", "key", "lo", "at", "seg"))):
+                length = kinds[h & 1][0]
                 m = len(seg) - length + 1
                 starts = np.arange(lo, lo + m)
                 yield pa.RecordBatch.from_arrays([pa.array([h] * m, pa.int64()), pa.array(at - starts, pa.int32()), _signed([digest(seg[k : k + length]) for k in range(m)]), pa.array([n] * m, pa.int64()), pa.array([key] * m, pa.binary()), pa.array(starts, pa.int32())], ["h", "l", "dig", "n", "key", "s"])
@@ -373,38 +401,35 @@ def _windows(length: int):
     return run
 
 
-def repeat_spans(keyed: DataFrame, length: int = 400, gram: int = GRAM, coded: bool = False) -> DataFrame:
-    """(key, lo, hi): window starts lo..hi of the text of this key that also start elsewhere. keyed: (doc_id, key, text), key standing for the text.
-
-    coded: windows are of the text's word codes. Each task does this itself, so a stage needs no second set of workers.
-    """
-    shortest = length // 2 - 1 if coded else length  # a code stands for a letter and a space at least
-    segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(length, gram, coded), SEGMENTS), "segments")
+def repeat_spans(keyed: DataFrame, kinds: Kinds) -> DataFrame:
+    """(key, lo, hi, of_words): window starts lo..hi of the text of this key that also start elsewhere, in bytes of the text or of its word codes. keyed: (doc_id, key, text), key standing for the text."""
+    # a code stands for a letter and a space at least
+    shortest = min([kinds[0][0], *(n // 2 - 1 for n, _ in kinds[1:])])
+    segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(kinds), SEGMENTS), "segments")
     anchors = segments.groupBy("h").agg(F.sum("n").alias("total"), (F.min("dig") != F.max("dig")).alias("many"))
     # written first: a join straight on the sums could not split a hot anchor's segments
     anchors = stage(anchors.where("total > 1").select("h", "many"), "anchors")
     seen = stage(segments.join(anchors, "h"), "repeated-anchors")
-    alike = seen.where("not many").select("key", "lo", F.col("end").alias("hi"))
+    of_words = (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("of_words")
+    alike = seen.where("not many").select("key", "lo", F.col("end").alias("hi"), of_words)
 
     mixed = seen.where("many")
     distinct = stage(mixed.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi", "at")).alias("r")).select("h", "dig", "n", "r.*"), "distinct-segments")
     # joins with hot keys are written one by one: in a union Spark would not split them
-    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", F.col("end").alias("hi")), "equal-segments")
+    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", F.col("end").alias("hi"), of_words), "equal-segments")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("many"))
     sizes = stage(sizes, "anchor-sizes")
     wanted = distinct.join(sizes, "h").groupBy("key", "doc_id").agg(F.collect_list(F.struct("h", "dig", "n", "lo", "hi", "at", "many")).alias("parts"))
     wanted = stage(wanted.withColumnRenamed("doc_id", "by"), "wanted-segments")
-    cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", F.col("text"), "parts")
-    cut = cut.mapInArrow(_coded, f"key binary, raw binary, parts {wanted.schema['parts'].dataType.simpleString()}") if coded else cut.withColumn("raw", F.col("text").cast("binary"))
-    cut = cut.select("key", "raw", F.explode("parts").alias("p"))
-    cut = stage(cut.select("key", "p.*", F.expr(f"substring(raw, p.lo + 1, p.hi - p.lo + {length})").alias("seg")), "segment-bytes")
+    cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", "text", "parts")
+    cut = stage(cut.mapInArrow(_bytes_of(kinds), PARTS), "segment-bytes")
     near = cut.where(F.col("many") <= GROUP).select("h", "dig", "n", "key", "lo", "at", "seg").repartition("h").sortWithinPartitions("h")
-    compared = near.mapInArrow(_compare(length, gram), "key binary, lo int, hi int")
+    compared = near.mapInArrow(_compare(kinds), "key binary, lo int, hi int, of_words boolean")
 
-    hot = cut.where(F.col("many") > GROUP).mapInArrow(_windows(length), "h long, l int, dig long, n long, key binary, s int")
+    hot = cut.where(F.col("many") > GROUP).mapInArrow(_windows(kinds), "h long, l int, dig long, n long, key binary, s int")
     twice = stage(hot.groupBy("h", "l", "dig").agg(F.sum("n").alias("times")).where("times > 1").select("h", "l", "dig"), "repeated-windows")
-    counted = stage(hot.where("n = 1").join(twice, ["h", "l", "dig"], "left_semi").select("key", F.col("s").alias("lo"), F.col("s").alias("hi")), "counted-windows")
+    counted = stage(hot.where("n = 1").join(twice, ["h", "l", "dig"], "left_semi").select("key", F.col("s").alias("lo"), F.col("s").alias("hi"), of_words), "counted-windows")
     return alike.unionByName(full).unionByName(compared).unionByName(counted)
 
 
@@ -427,7 +452,7 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut(length: int, words: int, cut_passages: bool):
+def _cut(length: int, words: int, cut_passages: bool, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, len(whole), SLICE):
@@ -437,10 +462,10 @@ def _cut(length: int, words: int, cut_passages: bool):
                     own = [(s["lo"], s["hi"] + length) for s in spans or () if not s["of_words"]]
                     of_words = word_spans(text, [(s["lo"], s["hi"]) for s in spans or () if s["of_words"]], words)
                     left, runs = cut_out(text, own + of_words if cut_passages else own)
-                    kept.append(left)
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
                     for out, found in ((removed, runs), (passages, cut_out(text, of_words)[1])):
                         out.append([{"start": lo, "end": hi} for lo, hi in found])
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(removed, RUNS), pa.array(passages, RUNS)], ["row", "n_bytes", "kept", "removed", "passages"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_bytes"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, RUNS), pa.array(passages, RUNS)], ["row", "n_bytes", "kept", "removed", "passages"])
 
     return run
 
@@ -453,9 +478,11 @@ def word_spans(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tu
     return [(at[-(-lo // WORD)][0], at[hi // WORD + words - 1][1]) for lo, hi in spans if -(-lo // WORD) <= hi // WORD]
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400, words: int | None = None, cut_passages: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, length: int = 400, words: int | None = None, cut_passages: bool = True, as_text: bool = False) -> DataFrame:
     """Every row of docs as (row: struct of the carried columns, n_bytes, kept binary, removed and passages: arrays of byte runs).
 
+    as_text: kept is a string, without characters that a removal cuts through.
+
     Each byte that a window of `length` bytes covers which also starts elsewhere, in this
     document or another, is removed; windows are judged on the input. With `words`, passages
     are the runs covered by that many words (between ASCII spaces, whatever these are) that
@@ -468,14 +495,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     carry = [c for c in docs.columns if c != text_col] if carry is None else carry
     row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    spans = repeat_spans(keyed.select("doc_id", "key", "text"), length)
-    spans = spans.select("key", "lo", "hi", F.lit(False).alias("of_words"))
-    if words:
-        found = repeat_spans(keyed.select("doc_id", "key", "text"), WORD * words, WORD_GRAM, coded=True)
-        spans = spans.unionByName(found.select("key", "lo", "hi", F.lit(True).alias("of_words")))
+    kinds = [(length, GRAM)] + ([(WORD * words, WORD_GRAM)] if words else [])
+    spans = repeat_spans(keyed.select("doc_id", "key", "text"), kinds)
     spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("spans")), "spans")
     joined = keyed.join(spans, "key", "left").select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
     runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.BinaryType()), T.StructField("removed", runs), T.StructField("passages", runs)])
-    out = joined.mapInArrow(_cut(length, words or 0, cut_passages), kind)
+    kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("removed", runs), T.StructField("passages", runs)])
+    out = joined.mapInArrow(_cut(length, words or 0, cut_passages, as_text), kind)
     return out.select(F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] or [F.lit(0).alias("_")]).alias("row"), "n_bytes", "kept", "removed", "passages")

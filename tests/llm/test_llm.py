@@ -271,7 +271,7 @@ def test_very_long_periodic_texts_are_few_segments(spark):
     got = {r.doc_id: r for r in repeats.remove_repeats(docs_of(spark, rows), carry=["doc_id"], words=51).selectExpr("row.doc_id", "n_bytes", "length(kept) AS left", "size(removed) AS runs", "size(passages) AS passages").collect()}
     assert {i: (r.n_bytes, r.left, r.runs, r.passages) for i, r in got.items()} == {1: (3_000_000, 0, 1, 0), 2: (1_200_000, 0, 1, 1), 3: (1_400_000, 0, 1, 1)}
     slim = pa.RecordBatch.from_pydict({"key": pa.array([b"k"]), "doc_id": pa.array([1]), "text": pa.array(["x" * 3_000_000])})
-    assert sum(map(len, repeats._segments(400, 100, False)([slim]))) <= 2
+    assert sum(map(len, repeats._segments([(400, 100)])([slim]))) <= 2
 
 
 def test_stages_pass_odd_columns(spark, tmp_path):
