@@ -21,20 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at least 0.8 alike (Jaccard), that of the smallest doc_id."""
+    """One document of each group linked by five-word shingles at least 0.8 alike (SimHash candidates, exact Jaccard), that of the smallest doc_id."""
     return simhash.keep_one(docs, groups=shingles.similar_texts)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of over 50 words, or of 400 bytes or more, that occur elsewhere too; a character cut through goes."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = repeats.remove_repeats(docs, carry=others, words=51)
-
-    @F.pandas_udf("string")
-    def as_text(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    found = found.select("row", as_text("kept").alias("text"))
+    found = repeats.remove_repeats(docs, carry=others, words=51, as_text=True).withColumnRenamed("kept", "text")
     now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[now.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
