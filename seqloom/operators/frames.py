@@ -73,6 +73,9 @@ class _Frame:
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
+    def _ordered(self, *columns: str):
+        return self.df.orderBy("pos").select(*columns).toLocalIterator()
+
     def lengths(self) -> DataFrame:
         return self.df.select("pos", strings.length(F.col("seq")).alias("length"))
 
@@ -195,16 +198,21 @@ class SeqFrame(_Frame):
         """The same, failing at the first invalid symbol when it runs."""
         return self.with_seq(strings.validate(F.col("seq"), self.kind))
 
+    def __iter__(self):
+        """Sequences in order, a partition at a time on the driver."""
+        return (r.seq for r in self._ordered("seq"))
+
     def to_list(self) -> list[str]:
-        return [r.seq for r in self.df.orderBy("pos").select("seq").toLocalIterator()]
+        return list(self)
 
     def append(self, seq: str) -> SeqFrame:
         return self.extend(SeqFrame.of(self.df.sparkSession, [seq], self.kind))
 
     def concat(self) -> str:
-        """All sequences joined in order; an error for an empty frame. Joined by partition of ordered rows, then once."""
-        parts = self.df.orderBy("pos").select("seq").toLocalIterator()
-        out = [r.seq for r in parts]
+        """All sequences joined in order; an error for an empty frame. Ranges of pos are joined on the executors, the driver joins those."""
+        ranged = self.df.select("pos", "seq").repartitionByRange("pos")
+        parts = ranged.groupBy(F.spark_partition_id().alias("g")).agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("parts"))
+        out = [r.seq for r in parts.orderBy("first").select(F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq")).toLocalIterator()]
         if not out:
             raise SequenceError("an empty frame can't be joined")
         return "".join(out)
@@ -324,6 +332,24 @@ class RecordFrame(_Frame):
                     raise SequenceError(f"record {r[1]!r}: invalid character {c!r} at position {k}")
         return cls(spark.createDataFrame(rows, RECORD_SCHEMA), kind, True)
 
+    @classmethod
+    def written(cls, records) -> RecordFrame:
+        """What a writer takes: a RecordFrame, or an iterable of records (checked for their fields, not for an alphabet)."""
+        if isinstance(records, RecordFrame):
+            return records
+        if isinstance(records, (str, bytes, dict)) or not isinstance(records, Iterable):
+            raise TypeError("a RecordFrame or records are written")
+        rows = list(records)
+        if not all(isinstance(r, dict) and {"id", "seq", "description", "features", "annotations"} <= set(r) for r in rows):
+            raise TypeError("a RecordFrame or records are written")
+        spark = SparkSession.getActiveSession()
+        return cls(spark.createDataFrame([(k, r["id"], r["description"], r["seq"], r["features"], r["annotations"]) for k, r in enumerate(rows)], RECORD_SCHEMA), "protein", True)
+
+    def __iter__(self):
+        """Records in order, as record() makes them, a partition at a time on the driver."""
+        for r in self._ordered("id", "seq", "description", "features", "annotations"):
+            yield r.asDict(recursive=True)
+
     def ids(self) -> DataFrame:
         return self.df.select("pos", "id")
 

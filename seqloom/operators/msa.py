@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.errors import FormatError, SequenceError
 from seqloom.functions.alphabets import KINDS, both_cases
+from seqloom.operators.frames import RecordFrame
 
 SCHEMA = "msa_id long, pos long, id string, aligned string"
 #: Names the aligner's binary, before the search path.
@@ -55,33 +56,79 @@ class Alignment:
     def __len__(self) -> int:
         return self.df.count()
 
+    def _column(self, name: str) -> list[str]:
+        return [r[0] for r in self.df.orderBy("msa_id", "pos").select(name).toLocalIterator()]
+
     def ids(self) -> list[str]:
-        return [r.id for r in self.df.orderBy("msa_id", "pos").collect()]
+        return self._column("id")
 
     def aligned_strings(self) -> list[str]:
-        return [r.aligned for r in self.df.orderBy("msa_id", "pos").collect()]
+        return self._column("aligned")
+
+    seqs = aligned_strings
+
+    def __iter__(self):
+        for r in self.df.orderBy("msa_id", "pos").select("id", "aligned").toLocalIterator():
+            yield r.id, r.aligned
 
     def __getitem__(self, key):
-        rows = [(r.id, r.aligned) for r in self.df.orderBy("msa_id", "pos").collect()]
+        """(id, aligned) of a row, negative from the end; of a slice, the alignment of its rows. Rows are numbered over all alignments of the frame, and only those asked for leave the cluster."""
+        places = F.struct("msa_id", "pos")
         if isinstance(key, slice):
-            spark = self.df.sparkSession
-            return Alignment(spark.createDataFrame([(0, k, i, s) for k, (i, s) in enumerate(rows[key])], SCHEMA), self.kind)
-        return rows[key]
+            keys = self.df.select(places.alias("p")).orderBy("p").collect()[key]
+            asked = self.df.sparkSession.createDataFrame([(*r.p, k) for k, r in enumerate(keys)], "msa_id long, pos long, _to long")
+            got = self.df.join(asked, ["msa_id", "pos"]).select(F.lit(0).cast("long").alias("msa_id"), F.col("_to").alias("pos"), "id", "aligned")
+            return Alignment(got, self.kind)
+        if isinstance(key, bool) or not isinstance(key, int):
+            raise TypeError("an index is an int or a slice")
+        order = ("msa_id", "pos") if key >= 0 else (F.desc("msa_id"), F.desc("pos"))
+        got = self.df.orderBy(*order).offset(key if key >= 0 else -key - 1).limit(1).collect()
+        if not got:
+            raise IndexError("index out of range")
+        return got[0].id, got[0].aligned
 
     def conservation(self) -> DataFrame:
         """(msa_id, col, conserved): a column whose symbols are equal in either case and no gap; of a single row every column.
 
-        Columns are counted by symbol before the shuffle.
+        A task folds its rows of an alignment into one row (a mark where symbols differ, their
+        number); those are few, and folded again.
         """
-        cells = self.df.select("msa_id", F.posexplode(F.when(F.length("aligned") == 0, F.array().cast("array<string>")).otherwise(F.split(F.upper("aligned"), ""))).alias("col", "c"))
-        got = cells.groupBy("msa_id", "col").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-        same = (F.col("n") == 1) | ((F.col("low") == F.col("high")) & ~F.col("low").isin("-", "."))
-        return got.select("msa_id", F.col("col").cast("long").alias("col"), same.alias("conserved"))
+
+        def fold(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            held: dict[int, list] = {}  # msa_id: rows, columns that agree so far
+            for b in batches:
+                for m, row, n in zip(b.column("msa_id").to_pylist(), b.column("row"), b.column("n").to_pylist()):
+                    own = np.frombuffer(row.as_buffer(), np.uint8)
+                    if m not in held:
+                        held[m] = [n, own.copy()]
+                        continue
+                    n_held, first = held[m]
+                    if len(first) != len(own):
+                        raise SequenceError("rows of an alignment have equal widths")
+                    first[first != own] = 0
+                    held[m][0] = n_held + n
+                while len(held) > FOLDED:
+                    m = next(iter(held))
+                    n, own = held.pop(m)
+                    yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([own.tobytes()]), pa.array([n], pa.int64())], ["msa_id", "row", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([own.tobytes() for _, own in held.values()], pa.binary()), pa.array([n for n, _ in held.values()], pa.int64())], ["msa_id", "row", "n"])
+
+        kind = "msa_id long, row binary, n long"
+        rows = self.df.select("msa_id", F.upper("aligned").cast("binary").alias("row"), F.lit(1).cast("long").alias("n"))
+        got = rows.mapInArrow(fold, kind).repartition("msa_id").mapInArrow(fold, kind)
+        got = got.groupBy("msa_id").agg(F.sum("n").alias("n"), F.collect_list("row").alias("parts"))  # one part, or a few of a busy task
+        cells = got.select("msa_id", "n", F.posexplode(_agreed()).alias("col", "c"))
+        return cells.select("msa_id", F.col("col").cast("long").alias("col"), ((F.col("n") == 1) | ~F.col("c").isin("-", ".", "\x00")).alias("conserved"))
 
     def diagram(self) -> str:
         """Rows with right-aligned ids, and a line that marks conserved columns."""
-        rows = [(r.id, r.aligned) for r in self.df.orderBy("pos").collect()]
-        pad = max((len(i) for i, _ in rows), default=0)
+        rows = list(self)
+        if not rows:
+            return ""
+        pad = max(len(i) for i, _ in rows)
         marks = "".join("*" if r.conserved else " " for r in self.conservation().orderBy("col").collect())
         return "\n".join([f"{i:>{pad}}  {s}" for i, s in rows] + [" " * pad + "  " + marks])
 
@@ -91,10 +138,20 @@ class Alignment:
         return f"Alignment({self.kind}, rows={len(self)}, width={self.width()})"
 
 
+def _agreed():
+    """The symbols of the parts' columns, NUL where parts differ."""
+    split = lambda x: F.when(F.octet_length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x.cast("string"), ""))
+    return F.aggregate(F.slice("parts", 2, F.size("parts")), split(F.col("parts")[0]), lambda z, x: F.zip_with(z, split(x), lambda a, b: F.when(a == b, a).otherwise("\x00")))
+
+
 def find_clustalo() -> str:
-    """Path of the external aligner; RuntimeError if there is none."""
+    """Path of the external aligner. A path named by the variable is it or an error; RuntimeError if there is none anywhere."""
     named = os.environ.get(BINARY_VARIABLE)
-    if named and os.access(named, os.X_OK):
+    if named is not None:
+        if not os.path.exists(named):
+            raise FileNotFoundError(f"{BINARY_VARIABLE} names {named!r}, which does not exist")
+        if not os.access(named, os.X_OK):
+            raise PermissionError(f"{BINARY_VARIABLE} names {named!r}, which can't be run")
         return named
     found = shutil.which("clustalo")
     if not found:
@@ -104,6 +161,8 @@ def find_clustalo() -> str:
 
 def check_args(extra: Iterable[str] | None) -> list[str]:
     """Extra arguments, unless they touch input, output, format or threads."""
+    if extra is not None and (isinstance(extra, (str, bytes)) or not isinstance(extra, (list, tuple))):
+        raise TypeError("extra arguments are a list of strings")
     out = list(extra or ())
     for a in out:
         if not isinstance(a, str):
@@ -144,8 +203,32 @@ def run_clustalo(rows: list[tuple[str, str]], kind: str, threads: int | None = N
     return aligned
 
 
-def msa(records: DataFrame, kind: str, algorithm: str = "clustalo", group: str = "msa_id", threads: int | None = None, extra_args: Iterable[str] | None = None, binary: str | None = None) -> Alignment:
-    """Align each group of records (msa_id, pos, id, seq) of at least two rows with an external tool, groups in parallel."""
+def _grouped(spark: SparkSession | None, records, kind: str | None) -> tuple[DataFrame, str | None]:
+    """A frame of groups and the kind, for what msa() takes."""
+    if isinstance(records, RecordFrame):
+        return records.df.select(F.lit(0).cast("long").alias("msa_id"), "pos", "id", "seq"), records.kind
+    if isinstance(records, (list, tuple)):
+        if len(records) < 2:
+            raise SequenceError("at least two sequences are aligned")
+        if not all(isinstance(r, dict) and {"id", "seq"} <= set(r) for r in records):
+            raise TypeError("records have an id and a seq")
+        spark = spark or SparkSession.getActiveSession()
+        return spark.createDataFrame([(0, k, r["id"], r["seq"]) for k, r in enumerate(records)], "msa_id long, pos long, id string, seq string"), kind
+    if not isinstance(records, DataFrame):
+        raise TypeError(f"a RecordFrame, records or a DataFrame are aligned, not {type(records).__name__}")
+    return records, kind
+
+
+#: Alignments that a task folds at once, at most.
+FOLDED = 256
+
+
+def msa(records: DataFrame | RecordFrame | list[dict], kind: str | None = None, algorithm: str = "clustalo", group: str = "msa_id", threads: int | None = None, extra_args: Iterable[str] | None = None, binary: str | None = None) -> Alignment:
+    """Align each group of records (msa_id, pos, id, seq) of at least two rows with an external tool, groups in parallel.
+
+    A RecordFrame is one group of its own kind; so is a list of records, of the kind given.
+    """
+    records, kind = _grouped(None, records, kind)
     if algorithm != "clustalo":
         raise ValueError(f"unknown algorithm {algorithm!r}; there is clustalo")
     if kind not in ("dna", "protein"):

@@ -79,31 +79,48 @@ def pair_distances(alignment: Alignment, model: str = "p-distance", strict: bool
     code = _dna_codes if kind == "dna" else _protein_codes
     packed = alignment.df.select("msa_id", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), F.struct("pos", "id", "aligned").alias("row"))
     blocks = packed.groupBy("msa_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    left = blocks.select("msa_id", F.col("block").alias("a"), F.col("rows").alias("left"))
-    right = blocks.select("msa_id", F.col("block").alias("b"), F.col("rows").alias("right"))
+    # each block goes to the pairs that it is in: a large alignment's pairs are as many keys
+    own = blocks.select("msa_id", "block")
+    ends = own.groupBy("msa_id").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    placed = blocks.join(ends, "msa_id")
+    left = placed.select("msa_id", F.col("block").alias("a"), F.explode(F.sequence("block", "high")).alias("b"), F.col("rows").alias("left"))
+    right = placed.select("msa_id", F.explode(F.sequence("low", "block")).alias("a"), F.col("block").alias("b"), F.col("rows").alias("right"))
 
     def compare(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for m, a, b, left, right in pdf[["msa_id", "a", "b", "left", "right"]].itertuples(index=False):
+        for rows in batches:
+            for at in range(len(rows)):  # a pair of blocks at a time
+                m, a, b, left, right = (rows.column(c)[at].as_py() for c in ("msa_id", "a", "b", "left", "right"))
+                out = []
                 if len({len(r["aligned"]) for r in (*left, *right)}) > 1:
                     raise SequenceError("rows of an alignment have equal widths")
                 x, y = code([r["aligned"] for r in left]), code([r["aligned"] for r in right])
                 for k, r in enumerate(left):
-                    lo = k + 1 if a == b else 0
+                    lo = k + 1 if a == b else 0  # i < j
                     if lo >= len(right):
                         continue
                     valid, first, second = _counts(x[k], y[lo:], kind)
                     d = distance_of(valid, first, second, model)
                     if strict and np.isnan(d).any():
-                        at = int(np.flatnonzero(np.isnan(d))[0])
-                        why = "no valid column" if not valid[at] else f"too far apart for {model}"
-                        raise SequenceError(f"rows {r['pos']} and {right[lo + at]['pos']}: {why}")
-                    yield pd.DataFrame({"msa_id": m, "i": r["pos"], "j": [s["pos"] for s in right[lo:]], "label_i": r["id"], "label_j": [s["id"] for s in right[lo:]], "d": pd.Series(d).astype(object).where(~np.isnan(d), None)})
-
-    pairs = left.join(right, "msa_id").where("a <= b")
-    return pairs.mapInPandas(compare, "msa_id long, i long, j long, label_i string, label_j string, d double")
+                        bad = int(np.flatnonzero(np.isnan(d))[0])
+                        why = "no valid column" if not valid[bad] else f"too far apart for {model}"
+                        raise SequenceError(f"rows {r['pos']} and {right[lo + bad]['pos']}: {why}")
+                    out.append({"msa_id": m, "i": r["pos"], "j": [s["pos"] for s in right[lo:]], "label_i": r["id"], "label_j": [s["id"] for s in right[lo:]], "d": d})
+                if out:
+                    wide = [len(x["j"]) for x in out]
+                    d = np.concatenate([x["d"] for x in out])
+                    columns = [
+                        pa.array(np.full(len(d), m, np.int64)),
+                        pa.array(np.repeat([x["i"] for x in out], wide)),
+                        pa.array([j for x in out for j in x["j"]], pa.int64()),
+                        pa.array([x["label_i"] for x in out for _ in x["j"]], pa.string()),
+                        pa.array([s for x in out for s in x["label_j"]], pa.string()),
+                        pa.array(d, mask=np.isnan(d)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["msa_id", "i", "j", "label_i", "label_j", "d"])
+
+    return left.join(right, ["msa_id", "a", "b"]).mapInArrow(compare, "msa_id long, i long, j long, label_i string, label_j string, d double")
 
 
 def long_matrix(alignment: Alignment, model: str = "p-distance", strict: bool = True) -> DataFrame:
@@ -231,11 +248,10 @@ def quote(label: str) -> str:
     return "'" + label.replace("'", "''") + "'" if any(c.isspace() or c in ":,()[];'" for c in label) else label
 
 
-def _first_least(m: np.ndarray, active: list[int]) -> tuple[int, int]:
-    """Places i < j in the active list of the first least value, row by row."""
-    part = m[np.ix_(active, active)]
-    part[np.tril_indices(len(active))] = np.inf
-    return divmod(int(part.argmin()), len(active))
+def _first_least(part: np.ndarray) -> tuple[int, int]:
+    """Places i < j of the first least value, row by row."""
+    part = np.where(np.tri(len(part), dtype=bool), np.inf, part)
+    return divmod(int(part.argmin()), len(part))
 
 
 def neighbour_joining(labels: list[str], d: np.ndarray) -> Tree:
@@ -256,13 +272,11 @@ def neighbour_joining(labels: list[str], d: np.ndarray) -> Tree:
 
     while len(active) > 2:
         r = len(active)
-        sums = dict(zip(active, m[np.ix_(active, active)].sum(axis=1)))
-        q = np.zeros_like(m)
-        own = np.array([sums[x] for x in active])
-        q[np.ix_(active, active)] = (r - 2) * m[np.ix_(active, active)] - own[:, None] - own[None, :]
-        i, j = _first_least(q, active)
+        part = m[np.ix_(active, active)]
+        sums = np.cumsum(part, axis=1)[:, -1]  # added one by one, in order: ties stay ties
+        i, j = _first_least((r - 2) * part - sums[:, None] - sums[None, :])
         a, b = active[i], active[j]
-        la = m[a, b] / 2 + (sums[a] - sums[b]) / (2 * (r - 2))
+        la = m[a, b] / 2 + (sums[i] - sums[j]) / (2 * (r - 2))
         k = join(a, b, la, m[a, b] - la)
         rest = [x for x in active if x not in (a, b)]
         m[k, rest] = m[rest, k] = (m[a, rest] + m[b, rest] - m[a, b]) / 2
@@ -281,7 +295,7 @@ def upgma(labels: list[str], d: np.ndarray) -> Tree:
     m[:n, :n] = d
     active, size, height = list(range(n)), [1] * n, [0.0] * n
     while len(active) > 1:
-        i, j = _first_least(m, active)
+        i, j = _first_least(m[np.ix_(active, active)])
         a, b = active[i], active[j]
         k, h = len(nodes), m[a, b] / 2
         nodes.append(Node(children=(a, b)))

@@ -12,7 +12,7 @@ from seqloom.functions.alphabets import CODON_TABLE, HYDROPATHY, MASS, METRIC_OR
 from seqloom.operators import align, phylo
 from seqloom.operators.frames import RecordFrame, SeqFrame
 from seqloom.operators.msa import Alignment
-from seqloom.plans import base
+from seqloom.plans import base, known
 from seqloom.plans.base import DNA_SQL, GROUP, PROTEIN_SQL, RNA_SQL
 from seqloom.sources import fasta, fastq, tables
 
@@ -331,38 +331,51 @@ add("l1_align_local_cigar", _aligned(base.dna, "dna", True, True, align.Scoring(
 add("l2_align_global", _aligned(base.dna, "dna", False, False))
 add("l2_align_global_free_ends", _aligned(base.dna, "dna", False, True, align.Scoring(2, -1, -2.0, -0.5, end_gap=False)))
 
-def _strings_kept(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the aligned strings of a global alignment without their gaps are the inputs, and are of one length."""
-    got = align.align_pairs(_pairs(base.dna)(spark, sf), traceback=True, local=False, scoring=align.Scoring(2, -1, -2.0, -1.0))
-    got = got.select("doc_id", "query", "target", align.aligned_strings(F.col("query"), F.col("target"), F.col("aln")).alias("s"))
-    return got.select("doc_id", (F.length("s.query") == F.length("s.target")).alias("even"), (F.replace("s.query", F.lit("-"), F.lit("")) == F.col("query")).alias("query_kept"), (F.replace("s.target", F.lit("-"), F.lit("")) == F.col("target")).alias("target_kept"))
+#: Scores of which the best total is minus the number of edits.
+EDITS = align.Scoring(0, -1, -1.0, -1.0)
+_PAIRS_SQL = "a AS (SELECT s.doc_id, s.seq AS q, t.seq AS t FROM s JOIN s t ON t.doc_id = s.doc_id + 1)"
 
 
-def _rescored(local: bool, scoring: align.Scoring) -> Query:
-    """Whether an alignment's operations add up to its score, which the score-only run gives too."""
+def _edited(spark: SparkSession, sf: str) -> DataFrame:
+    """What the aligned strings of a global alignment show: their symbols, and columns that differ."""
+    got = align.align_pairs(_pairs(base.dna)(spark, sf), traceback=True, local=False, scoring=EDITS)
+    got = got.select("doc_id", align.aligned_strings(F.col("query"), F.col("target"), F.col("aln")).alias("s"))
+    differ = F.size(F.filter(F.zip_with(F.split("s.query", ""), F.split("s.target", ""), lambda a, b: a != b), lambda x: x))
+    ungapped = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    return got.select("doc_id", (F.length("s.query") - F.length("s.target")).cast("long").alias("uneven"), ungapped("s.query").alias("query"), ungapped("s.target").alias("target"), differ.cast("long").alias("edits"))
 
-    def check(q, t, aln, score):
+
+def _rescored(spark: SparkSession, sf: str) -> DataFrame:
+    """What the operations of a global alignment add up to, and their symbols of either side."""
+
+    def again(q, t, aln):
         import pandas as pd
 
         rows = aln.to_dict("records")
         for r in rows:
             r["cigar"] = [(c["op"], c["len"]) for c in r["cigar"]]
-        again = [align.rescore(a, b, r, scoring, "dna", local) if len(r["cigar"]) else 0.0 for a, b, r in zip(q, t, rows)]
-        return pd.Series([abs(x - r["score"]) < 1e-2 and abs(y - r["score"]) < 1e-2 for x, y, r in zip(again, score, rows)])
+        return pd.Series([align.rescore(a, b, r, EDITS, "dna", False) for a, b, r in zip(q, t, rows)])
 
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        got = align.align_pairs(_pairs(base.dna)(spark, sf), scoring=scoring, local=local, traceback=True)
-        got = align.align_pairs(got, scoring=scoring, local=local, name="plain")
-        same = F.pandas_udf(check, "boolean")
-        return got.select("doc_id", same("query", "target", "aln", F.col("plain.score")).alias("same"))
+    got = align.align_pairs(_pairs(base.dna)(spark, sf), scoring=EDITS, local=False, traceback=True)
+    moved = lambda ops: F.aggregate("aln.cigar", F.lit(0).cast("long"), lambda z, c: z + F.when(c["op"].isin(*ops), c["len"]).otherwise(0))
+    return got.select("doc_id", F.pandas_udf(again, "double")("query", "target", "aln").alias("total"), moved("MI").alias("query_moves"), moved("MD").alias("target_moves"))
 
-    return run
 
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Local alignments of each sequence with one that ends in it: no other place scores more."""
+    pairs = _pairs(base.dna)(spark, sf).where("query <> ''").withColumn("target", F.concat("target", "query"))
+    got = align.align_pairs(pairs, scoring=align.Scoring(2, -3, -5.0, -2.0), traceback=True)
+    return got.select("doc_id", F.col("aln.score").cast("double").alias("score"), align.cigar_text(F.col("aln.cigar")).alias("cigar"), align.aligned_strings(F.col("query"), F.col("target"), F.col("aln"))["target"].alias("found"))
+
+
+add("l1_align_local_planted", _planted, f"WITH {DNA_SQL}, {_PAIRS_SQL} SELECT doc_id, CAST(2 * length(q) AS DOUBLE) AS score, length(q) || 'M' AS cigar, q AS found FROM a WHERE q <> ''")
+add("l2_edit_distance", lambda spark, sf: align.align_pairs(_pairs(base.dna)(spark, sf), scoring=EDITS, local=False).select("doc_id", F.col("aln.score").cast("double").alias("score")), f"WITH {DNA_SQL}, {_PAIRS_SQL} SELECT doc_id, -CAST(levenshtein(q, t) AS DOUBLE) + 0.0 AS score FROM a")
+add("l9_aligned_strings", _edited, f"WITH {DNA_SQL}, {_PAIRS_SQL} SELECT doc_id, CAST(0 AS BIGINT) AS uneven, q AS query, t AS target, {n('levenshtein(q, t)')} AS edits FROM a")
+add("l10_rescore", _rescored, f"WITH {DNA_SQL}, {_PAIRS_SQL} SELECT doc_id, -CAST(levenshtein(q, t) AS DOUBLE) + 0.0 AS total, {n('length(q)')} AS query_moves, {n('length(t)')} AS target_moves FROM a")
+# a sequence scores most with itself: every symbol of BLOSUM62 does
+_DIAGONAL = {c: int(align.matrix("BLOSUM62")[k, k]) for k, c in enumerate(align.PROTEIN_CODES) if c in base.AMINO}
+add("l4_align_protein_self", lambda spark, sf: align.align_pairs(base.protein(spark, sf).select("doc_id", F.col("seq").alias("query"), F.col("seq").alias("target")).repartition(4 * spark.sparkContext.defaultParallelism, "doc_id"), scoring=align.Scoring(gap_open=-11, gap_extend=-1), kind="protein", local=False).select("doc_id", F.col("aln.score").cast("double").alias("score")), f"WITH {PROTEIN_SQL} SELECT doc_id, CAST({' + '.join(f'{v} * {_count(c)}' for c, v in _DIAGONAL.items())} AS DOUBLE) AS score FROM s")
 
-_PAIRS_SQL = "SELECT a.doc_id, {} FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
-add("l9_aligned_strings", _strings_kept, _PAIRS_SQL.format("true AS even, true AS query_kept, true AS target_kept"))
-add("l10_rescore_local", _rescored(True, align.Scoring(2, -1, -3.0, -1.0)), _PAIRS_SQL.format("true AS same"))
-add("l10_rescore_global", _rescored(False, align.Scoring(2, -1, -2.0, -1.0)), _PAIRS_SQL.format("true AS same"))
 
 def _translated(spark: SparkSession, sf: str) -> DataFrame:
     return base.dna(spark, sf).withColumn("seq", nucleotide.translate(F.col("seq"), 1))
@@ -401,22 +414,52 @@ for _name, _source, _with, _kind, _model in (("t1_p_distance", base.dna, DNA_SQL
     add(_name, _distances(_source, _kind, _model), f"WITH {_with}, {PADDED_SQL}, c AS (SELECT msa_id, i, j, valid, {_DIFFERENT} AS diff, {_TS if _model == 'k2p' else '0'} AS ts FROM p), e AS (SELECT *, CASE WHEN valid > 0 THEN CAST(diff AS DOUBLE) / valid END AS q FROM c) SELECT msa_id, i, j, round(CAST({_MODEL_SQL[_model]} AS DOUBLE), 6) + 0.0 AS d FROM e")
 
 
-def _trees(method: str) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = phylo.pair_distances(Alignment(base.aligned(base.protein(spark, sf)), "protein"), "p-distance", strict=False)
-        return phylo.build_trees(d.withColumn("d", F.coalesce("d", F.lit(1.0))), method).select("msa_id", "newick", "leaves", F.size("nodes").cast("long").alias("n_nodes"))
+def _tree_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """p-distances of groups of documents, of those with a sequence: all are defined."""
+    seqs = base.protein(spark, sf).where("seq <> ''")
+    return phylo.pair_distances(Alignment(base.aligned(seqs), "protein"), "p-distance")
 
-    return run
+
+def _trees(method: str) -> Query:
+    return lambda spark, sf: phylo.build_trees(_tree_distances(spark, sf), method).select("msa_id", "newick", "leaves", F.size("nodes").cast("long").alias("n_nodes"))
+
+
+def _tree_sql(method: str) -> str:
+    """The joins one after another, each a step over all groups: active nodes with their text, and distances both ways."""
+    length = lambda x: f"printf('%.6f', CAST({x} AS DOUBLE) + 0.0)"
+    steps = [
+        f"WITH {PROTEIN_SQL}, g AS (SELECT doc_id, doc_id // {GROUP} AS m, seq, length(seq) AS len FROM s WHERE seq <> '')",
+        f"n0 AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY doc_id) - 1 AS k, doc_id, 'd' || doc_id AS text, 1 AS size, CAST(0 AS DOUBLE) AS height, count(*) OVER (PARTITION BY m) AS leaves FROM g)",
+        f"p AS (SELECT a.m, a.doc_id AS i, b.doc_id AS j, CAST(len(list_filter(range(1, least(a.len, b.len) + 1), lambda k: substr(a.seq, k, 1) <> substr(b.seq, k, 1))) AS DOUBLE) / least(a.len, b.len) AS d FROM g a JOIN g b ON a.m = b.m AND a.doc_id < b.doc_id)",
+        "d0 AS MATERIALIZED (SELECT p.m, a.k AS i, b.k AS j, d FROM p JOIN n0 a ON a.doc_id = p.i JOIN n0 b ON b.doc_id = p.j UNION ALL SELECT p.m, b.k, a.k, d FROM p JOIN n0 a ON a.doc_id = p.i JOIN n0 b ON b.doc_id = p.j)",
+    ]
+    for k in range(GROUP - 1):
+        old, new = f"d{k}", f"d{k + 1}"
+        if method == "nj":
+            steps.append(f"s{k} AS MATERIALIZED (SELECT m, i, list_reduce(list(d ORDER BY j), lambda x, y: x + y) AS total, count(*) + 1 AS r FROM {old} GROUP BY m, i)")
+            steps.append(f"c{k} AS MATERIALIZED (SELECT o.m, min(struct_pack(q := CASE WHEN a.r > 2 THEN (a.r - 2) * d - a.total - b.total ELSE 0 END, i := o.i, j := o.j)) AS c FROM {old} o JOIN s{k} a ON a.m = o.m AND a.i = o.i JOIN s{k} b ON b.m = o.m AND b.i = o.j WHERE o.i < o.j GROUP BY o.m)")
+            steps.append(f"e{k} AS MATERIALIZED (SELECT c.m, c.c.i AS i, c.c.j AS j, d, CASE WHEN a.r > 2 THEN d / 2 + (a.total - b.total) / (2 * (a.r - 2)) ELSE d / 2 END AS la FROM c{k} c JOIN {old} o ON o.m = c.m AND o.i = c.c.i AND o.j = c.c.j JOIN s{k} a ON a.m = c.m AND a.i = c.c.i JOIN s{k} b ON b.m = c.m AND b.i = c.c.j)")
+            lengths, height, far = ("la", "CASE WHEN la = d / 2 THEN d / 2 ELSE d - la END"), "CAST(0 AS DOUBLE)", "(x.d + y.d - e.d) / 2"
+        else:
+            steps.append(f"c{k} AS MATERIALIZED (SELECT m, min(struct_pack(q := d, i := i, j := j)) AS c FROM {old} WHERE i < j GROUP BY m)")
+            steps.append(f"e{k} AS MATERIALIZED (SELECT m, c.i AS i, c.j AS j, c.q AS d FROM c{k})")
+            lengths, height, far = ("d / 2 - a.height", "d / 2 - b.height"), "d / 2", "(a.size * x.d + b.size * y.d) / (a.size + b.size)"
+        ends = f"JOIN n{k} a ON a.m = e.m AND a.k = e.i JOIN n{k} b ON b.m = e.m AND b.k = e.j"
+        steps.append(f"n{k + 1} AS MATERIALIZED (SELECT n.m, n.k, NULL AS doc_id, n.text, n.size, n.height, n.leaves FROM n{k} n LEFT JOIN e{k} e ON e.m = n.m WHERE e.m IS NULL OR (n.k <> e.i AND n.k <> e.j) UNION ALL SELECT e.m, a.leaves + {k}, NULL, '(' || a.text || ':' || {length(lengths[0])} || ',' || b.text || ':' || {length(lengths[1])} || ')', a.size + b.size, {height}, a.leaves FROM e{k} e {ends})")
+        steps.append(f"f{k} AS MATERIALIZED (SELECT e.m, x.j, a.leaves + {k} AS k, {far} AS d FROM e{k} e {ends} JOIN {old} x ON x.m = e.m AND x.i = e.i AND x.j <> e.j JOIN {old} y ON y.m = e.m AND y.i = e.j AND y.j = x.j)")
+        steps.append(f"{new} AS MATERIALIZED (SELECT o.* FROM {old} o JOIN e{k} e ON e.m = o.m WHERE o.i NOT IN (e.i, e.j) AND o.j NOT IN (e.i, e.j) UNION ALL SELECT m, j, k, d FROM f{k} UNION ALL SELECT m, k, j, d FROM f{k})")
+    return ", ".join(steps) + f" SELECT m AS msa_id, text || ';' AS newick, leaves, 2 * leaves - 1 AS n_nodes FROM n{GROUP - 1} WHERE leaves > 1"
+
+
+add("t9_neighbour_joining", _trees("nj"), _tree_sql("nj"))
+add("t10_upgma", _trees("upgma"), _tree_sql("upgma"))
 
 
-add("t9_neighbour_joining", _trees("nj"))
-add("t10_upgma", _trees("upgma"))
 def _shape(method: str) -> Query:
     """Leaves, nodes and lines of the diagram of each tree."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = phylo.pair_distances(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False)
-        got = phylo.build_trees(d.withColumn("d", F.coalesce("d", F.lit(1.0))), method)
+        got = phylo.build_trees(_tree_distances(spark, sf), method)
         roots = F.size(F.filter("nodes", lambda n: n["is_root"])).cast("long")
         return got.select("msa_id", "leaves", F.size("nodes").cast("long").alias("n_nodes"), F.size(F.split("diagram", "\n")).cast("long").alias("lines"), roots.alias("roots"))
 
@@ -424,7 +467,7 @@ def _shape(method: str) -> Query:
 
 
 for _name, _method, _roots in (("t9_nj_shape", "nj", 0), ("t10_upgma_shape", "upgma", 1)):
-    add(_name, _shape(_method), f"SELECT doc_id // {GROUP} AS msa_id, count(*) AS leaves, 2 * count(*) - 1 AS n_nodes, 2 * count(*) - 1 AS lines, CAST({_roots} AS BIGINT) AS roots FROM documents GROUP BY 1 HAVING count(*) > 1")
+    add(_name, _shape(_method), f"WITH {PROTEIN_SQL} SELECT doc_id // {GROUP} AS msa_id, count(*) AS leaves, 2 * count(*) - 1 AS n_nodes, 2 * count(*) - 1 AS lines, CAST({_roots} AS BIGINT) AS roots FROM s WHERE seq <> '' GROUP BY 1 HAVING count(*) > 1")
 add(
     "t7_distance_matrix",
     lambda spark, sf: phylo.long_matrix(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False).select("msa_id", "i", "j", (F.round("d", 6) + F.lit(0.0)).alias("d")),
@@ -433,12 +476,11 @@ add(
 
 
 def _leaves(spark: SparkSession, sf: str) -> DataFrame:
-    d = phylo.pair_distances(Alignment(base.aligned(base.dna(spark, sf)), "dna"), "p-distance", strict=False)
-    got = phylo.build_trees(d.withColumn("d", F.coalesce("d", F.lit(1.0))), "upgma")
+    got = phylo.build_trees(_tree_distances(spark, sf), "upgma")
     return got.select("msa_id", F.explode("nodes").alias("n")).where(F.size("n.children") == 0).select("msa_id", "n.label")
 
 
-add("t13_leaf_labels", _leaves, f"SELECT doc_id // {GROUP} AS msa_id, 'd' || doc_id AS label FROM documents")
+add("t13_leaf_labels", _leaves, f"WITH {PROTEIN_SQL}, g AS (SELECT doc_id // {GROUP} AS msa_id, doc_id, count(*) OVER (PARTITION BY doc_id // {GROUP}) AS k FROM s WHERE seq <> '') SELECT msa_id, 'd' || doc_id AS label FROM g WHERE k > 1")
 add("m5_widths", lambda spark, sf: Alignment(base.aligned(base.protein(spark, sf)), "protein").widths(), f"WITH {PROTEIN_SQL} SELECT doc_id // {GROUP} AS msa_id, count(*) AS rows, {n('max(length(seq))')} AS width FROM s GROUP BY 1")
 add("m6_conservation", lambda spark, sf: Alignment(base.aligned(base.dna(spark, sf)), "dna").conservation().groupBy("msa_id").agg(F.count("*").alias("width"), F.sum(F.col("conserved").cast("long")).alias("conserved")), f"WITH {DNA_SQL}, g AS (SELECT doc_id // {GROUP} AS msa_id, seq, max(length(seq)) OVER (PARTITION BY doc_id // {GROUP}) AS w FROM s), r AS (SELECT msa_id, rpad(seq, CAST(w AS INTEGER), '-') AS a FROM g WHERE w > 0), c AS (SELECT msa_id, unnest(range(length(a))) AS col, unnest(string_split(a, '')) AS c FROM r), k AS (SELECT msa_id, col, count(*) AS n, count(DISTINCT c) AS u, min(c) AS low FROM c GROUP BY ALL) SELECT msa_id, count(*) AS width, {n('sum(CAST(n = 1 OR (u = 1 AND low <> chr(45)) AS INT))')} AS conserved FROM k GROUP BY msa_id")
 
@@ -450,3 +492,8 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("flagship", lambda spark, sf: entry(spark, sf).withColumn("gc", F.round("gc", 6)), select(DNA_SQL, gc=q6("CASE WHEN seq = '' THEN 0 ELSE length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) END"), rc="reverse(translate(seq, 'ACGT', 'TGCA'))", protein=_codons("seq")))
+
+# -- known values -------------------------------------------------------------
+
+for _name in known.CASES:
+    add(_name, known.query(_name), known.sql(_name))

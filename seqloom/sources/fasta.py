@@ -158,10 +158,9 @@ def clean_header() -> Column:
     return F.regexp_replace(text, "[\r\n]", " ")
 
 
-def write_fasta(path: str, frame: RecordFrame, line_width: int = 60, single: bool = False, mode: str = "errorifexists") -> None:
-    """A folder of FASTA files in order of pos (with single, one file); line_width 0: no wrapping. An empty sequence is a blank line."""
-    if not isinstance(frame, RecordFrame):
-        raise TypeError("a RecordFrame is written")
+def write_fasta(path: str, frame: RecordFrame | Iterable[dict], line_width: int = 60, single: bool = False, mode: str = "errorifexists") -> None:
+    """A folder of FASTA files of a frame or of records, in order of pos (with single, one file); line_width 0: no wrapping. An empty sequence is a blank line."""
+    frame = RecordFrame.written(frame)
     if line_width < 0:
         raise ValueError("line width is at least 0")
     seq = F.regexp_replace("seq", f"(.{{{line_width}}})(?!$)", "$1\n") if line_width else F.col("seq")

@@ -115,10 +115,9 @@ def read_fastq_bytes(spark: SparkSession, data: bytes, alphabet: str = "auto") -
     return _frame(spark.createDataFrame([(k, *r) for k, r in enumerate(parse_bytes(data))], SCHEMA), alphabet, False)
 
 
-def write_fastq(path: str, frame: RecordFrame, quality_char: str = "I", single: bool = False, mode: str = "errorifexists") -> None:
+def write_fastq(path: str, frame: RecordFrame | Iterable[dict], quality_char: str = "I", single: bool = False, mode: str = "errorifexists") -> None:
     """A folder of FASTQ files in order of pos, with one quality character throughout."""
-    if not isinstance(frame, RecordFrame):
-        raise TypeError("a RecordFrame is written")
+    frame = RecordFrame.written(frame)
     if len(quality_char) != 1 or not quality_char.isascii() or quality_char in "\r\n":
         raise ValueError("the quality is one ASCII character and no line end")
     text = F.concat(F.lit("@"), clean_header(), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit(quality_char), F.length("seq")))

@@ -72,7 +72,7 @@ def read_csv(spark: SparkSession, path: str, id_col: str | int, seq_col: str | i
         at = strings.invalid_position(F.col("seq"), kind)
         said = F.concat(F.lit("invalid character '"), F.substring(F.col("seq"), (at + 1).cast("int"), F.lit(1)), F.lit("' at position "), at.cast("string"))
         counted = renumber(numbered)
-        skipped = counted.where(~good).select((F.col("pos") + 1).alias("row"), F.when(F.col("id") != "", F.col("id")).alias("id"), F.lit(columns[places["seq"]]).alias("column"), said.alias("message"))
+        skipped = counted.where(~good).select((F.col("pos") + 1).alias("row"), F.when(F.col("id") != "", F.col("id")).alias("id"), F.lit(seq_col if isinstance(seq_col, str) else f"#{seq_col}").alias("column"), said.alias("message"))
         numbered = numbered.where(good)
     else:
         numbered = numbered.withColumn("seq", strings.validate(F.col("seq"), kind))

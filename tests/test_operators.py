@@ -170,6 +170,47 @@ def test_alignment_frames(spark):
             bad()
     with pytest.raises(RuntimeError):
         msa.find_clustalo()
+    many = a.df.unionByName(a.df.withColumn("msa_id", F.lit(7).cast("long"))).repartition(3)
+    assert {tuple(r) for r in msa.Alignment(many, "dna").conservation().groupBy("msa_id").agg(F.sum(F.col("conserved").cast("int"))).collect()} == {(0, 3), (7, 3)}
+    assert list(msa.Alignment(many, "dna"))[4] == msa.Alignment(many, "dna")[4] == ("s1", "ACAGT")
+
+
+def test_aligner_takes_record_frames_and_lists(spark, tmp_path):
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\nwhile [ $# -gt 0 ]; do case $1 in -i) i=$2; shift;; -o) o=$2; shift;; esac; shift; done\nawk \'/^>/ {print; next} {s=$0; while (length(s) < 6) s = s "-"; print s}\' "$i" > "$o"\n')
+    tool.chmod(0o755)
+    own = [frames.record("a", "ACGT"), frames.record("b", "AC")]
+    for given, kind in ((frames.RecordFrame.of(spark, own, "dna"), None), (own, "dna")):
+        got = msa.msa(given, kind, binary=str(tool))
+        assert list(got) == [("a", "ACGT--"), ("b", "AC----")] and got.kind == "dna"
+
+
+def test_writers_take_records(spark, tmp_path):
+    own = [frames.record("a", "ACGT", "x"), frames.record("b", "")]
+    fasta.write_fasta(f"file://{tmp_path}/fa", iter(own), single=True)
+    fastq.write_fastq(f"file://{tmp_path}/fq", own, "J", single=True)
+    text = lambda d: "".join(p.read_text() for p in sorted((tmp_path / d).glob("part*")))
+    assert text("fa") == ">a x\nACGT\n>b\n\n" and text("fq") == "@a x\nACGT\n+\nJJJJ\n@b\n\n+\n\n"
+    for bad in ("ACGT", [{"id": "a"}], 5, ["a"]):
+        with pytest.raises(TypeError):
+            fasta.write_fasta(f"file://{tmp_path}/no", bad)
+
+
+def test_distances_of_one_large_alignment_are_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(phylo, "BLOCK", 4)
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACGT", k=12)) for _ in range(41)]
+    got = phylo.pair_distances(msa.Alignment.of(spark, rows_of(*seqs), "dna"))
+    assert got.count() == 41 * 40 // 2
+    assert "msa_id#" in got._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(msa_id" in got._jdf.queryExecution().executedPlan().toString()
+    d = {(r.i, r.j): r.d for r in got.collect()}
+    assert all(d[i, j] == pytest.approx(sum(a != b for a, b in zip(seqs[i], seqs[j])) / 12) for i, j in d)
+
+
+def test_tied_joins_come_in_order():
+    d = np.full((6, 6), 0.1 + 0.2) - np.diag([0.1 + 0.2] * 6)
+    assert phylo.neighbour_joining(list("ABCDEF"), d).nodes[6].children == (0, 1)
+    assert phylo.upgma(list("ABCDEF"), d).nodes[6].children == (0, 1)
 
 
 def test_external_aligner(spark, tmp_path):
