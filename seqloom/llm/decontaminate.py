@@ -2,10 +2,11 @@
 
 A window of a document has an item's number of words; a document of fewer is one window. It leaks the item if the weighted
 (multiset) Jaccard similarity of their five-word shingles is at least 0.8. Windows with too few
-shingles of any item for that are passed over, which loses none. The others'
-fingerprints are looked up in eight blocks of eight bits: one that differs from an
-item's in at most RADIUS bits differs in at most RADIUS // 8 of some block, so all items
-within the radius are found. Candidates are then compared exactly.
+shingles of any item for that are passed over, which loses none; what is left may hold shingles of
+many items, and which item it is like, if any, the fingerprints tell. They are looked up in eight
+blocks of eight bits: one that differs from an item's in at most RADIUS bits differs in at most
+RADIUS // 8 of some block, so the buckets within that of each block hold all items within the
+radius. Candidates are then compared exactly.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ref, text_of
+from seqloom.llm.common import ref, stage, take_lists, text_of
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -29,6 +31,8 @@ RADIUS = 23
 ITEM_CHARS = 8 << 20
 #: Words whose windows are fingerprinted at once.
 RUN = 4096
+#: Members of buckets looked at at once, about.
+PAIRS = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
@@ -74,23 +78,30 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Blocks:
-    """Fingerprints of items, found by eight-bit blocks: all within the radius, and others."""
+    """Fingerprints of items in buckets by each of their eight-bit blocks: those within the radius of a query are found in the buckets near it."""
 
     def __init__(self, fps: list[int], radius: int = RADIUS):
         self.fps, self.radius = np.array(fps, np.uint64), radius
         own = self.fps.view(np.uint8).reshape(-1, 8)
-        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None, None] ^ own[None]) <= radius // 8
-        self.near = apart.transpose(2, 0, 1)  # block, value -> items
+        self.members = [np.argsort(own[:, k], kind="stable") for k in range(8)]
+        self.starts = [np.searchsorted(own[m, k], np.arange(257)) for k, m in enumerate(self.members)]
+        flips = np.arange(256, dtype=np.uint8)
+        self.flips = flips[np.bitwise_count(flips) <= radius // 8]
 
     def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) pairs at most the radius apart."""
-        q = fps.view(np.uint8).reshape(-1, 8)
-        found = self.near[0, q[:, 0]].copy()
-        for k in range(1, 8):
-            found |= self.near[k, q[:, k]]
-        i, j = np.nonzero(found)
-        ok = np.bitwise_count(fps[i] ^ self.fps[j]) <= self.radius
-        return i[ok], j[ok]
+        """(query, item) pairs at most the radius apart, in order."""
+        q, pairs = fps.view(np.uint8).reshape(-1, 8), []
+        step = max(1, PAIRS // max(1, len(self.fps)))
+        for at in range(0, len(fps), step):
+            part, found = q[at : at + step], []
+            for k in range(8):
+                buckets = (part[:, k, None] ^ self.flips).ravel().astype(np.int64)
+                j, ends = take_lists(self.members[k], self.starts[k], buckets)
+                i = np.repeat(np.arange(len(buckets)) // len(self.flips), np.diff(ends))
+                ok = np.bitwise_count(fps[at + i] ^ self.fps[j]) <= self.radius
+                found.append((at + i[ok]) * len(self.fps) + j[ok])
+            pairs.append(np.unique(np.concatenate(found)))
+        return np.divmod(np.concatenate(pairs), len(self.fps)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
 class Items:
@@ -161,24 +172,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """docs with an array column `name` of (item_id, start, similarity), a struct for each item that the text leaks.
 
     Items go to the workers in rounds of at most item_chars characters (one longer item
-    by itself); the benchmark is small against the documents and read once by the driver.
-    Items shorter than five words are one shingle. Null or wordless texts leak nothing,
-    null or wordless items are never leaked. An item_id that stands in several rows
-    counts for the best of them. Repeated rows are judged alike; an empty table of either
-    kind gives no leaks. Columns of any other name pass through.
+    by itself), which the driver reads one at a time. Where there are several, each round's
+    result is written before the next one begins, so one round's items are held at a time,
+    however many items there are. Items shorter than five words are one shingle. Null or
+    wordless texts leak nothing, null or wordless items are never leaked. An item_id that
+    stands in several rows counts for the best of them; of windows alike the first. Repeated
+    rows are judged alike; very long texts are taken RUN windows at a time; an empty table of
+    either kind gives no leaks. A column called `name` is replaced, all others pass through.
     """
-    rounds: list[list] = [[]]
-    size = 0
-    for r in benchmark.select(ref(item_col).cast("long").alias("i"), text_of(item_text_col).alias("t")).where("t <> ''").orderBy("i", "t").toLocalIterator():
-        if rounds[-1] and size + len(r.t) > item_chars:
-            rounds.append([])
-            size = 0
-        rounds[-1].append((r.i, r.t))
+    from pyspark.sql import types as T
+
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("similarity", T.DoubleType())]))
+    context = docs.sparkSession.sparkContext
+    out, held = docs.withColumn(name, F.array().cast(kind)), None
+    for own in _rounds(benchmark, item_col, item_text_col, item_chars):
+        if held is not None:  # another round: the last one's items can go when its result is written
+            out = stage(out, "leaks")
+            held.destroy()
+        held = context.broadcast(own)
+        out = out.withColumn(name, F.concat(ref(name), _leaking(held)(text_of(text_col))))
+    return out
+
+
+def _rounds(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> Iterator[list[tuple[int, str]]]:
+    own, size = [], 0
+    rows = benchmark.select(ref(item_col).cast("long").alias("i"), text_of(text_col).alias("t")).where("t <> ''").orderBy("i", "t")
+    for r in rows.toLocalIterator():
+        if own and size + len(r.t) > chars:
+            yield own
+            own, size = [], 0
+        own.append((r.i, r.t))
         size += len(r.t)
-    found = []
-    for own in rounds:
-        found.append(_leaking(docs.sparkSession.sparkContext.broadcast(own))(text_of(text_col)))
-    return docs.withColumn(name, F.concat(*found))
+    if own:
+        yield own
 
 
 def _leaking(items):

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import new_path, ref, stage
 
 #: Payloads above this are sent in chunks of it; record blocks above SEGMENT are segmented.
-CHUNK = 8 << 10
-SEGMENT = 16 << 10
+CHUNK = 2 << 10
+SEGMENT = 4 << 10
 #: Records in a file, at most: with SEGMENT this bounds a file, which is read as one row.
 PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
