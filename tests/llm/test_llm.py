@@ -347,6 +347,52 @@ def test_licenses(spark):
     assert licenses.licenses(docs_of(spark, [])).count() == 0
 
 
+def plain_licenses(text, templates):
+    """Of each template the best local alignment with the whole text, every cell of the table, as (template, matched words)."""
+    d, out = licenses._WORD.findall(text.lower()), []
+    for t, (_, own) in enumerate(templates):
+        w = licenses._WORD.findall(own.lower())
+        row = [(0.0, 0)] * (len(d) + 1)
+        for x in w:
+            new = [(row[0][0] - 0.5, row[0][1])]
+            for j, y in enumerate(d, 1):
+                diag = (row[j - 1][0] + 1, row[j - 1][1] + 1) if x == y else (row[j - 1][0] - 0.5, row[j - 1][1])
+                new.append(max(diag, (row[j][0] - 0.5, row[j][1]), (new[j - 1][0] - 0.5, new[j - 1][1])))
+            row = new
+        n = max(row)[1]
+        if n >= licenses.COVERAGE * len(w):
+            out.append((t, n))
+    return out
+
+
+def test_licenses_are_those_of_whole_alignments():
+    """One edited notice, header or whole text in each document; brute force fills the whole table of every template."""
+    rng = random.Random(21)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = 0
+    for k in range(60):
+        own = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split()
+        for _ in range(rng.randrange(0, 1 + len(own) // 12)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = ["qqq"][: rng.randrange(2)]
+        text = f"{words(rng, 15)} {' '.join(own)} {words(rng, 15)}" if k % 5 else words(rng, 40)
+        want = plain_licenses(text, licenses.TEMPLATES)
+        got = [(x[1], x[2]) for x in scanner.scan(text)]
+        assert bool(got) == bool(want), (text, got, want)
+        if want:  # the template with the most matched words, the better covered of equals
+            best = max(want, key=lambda x: (x[1], x[1] / len(licenses._WORD.findall(licenses.TEMPLATES[x[0]][1])), -x[0]))
+            assert got == [best], (text, got, want)
+            found += 1
+    assert found > 40
+
+
+def test_bsd_texts_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        text = [t for n, t in licenses.TEMPLATES if n == name][-1]
+        assert [(x[0], x[3]) for x in scanner.scan("Copyright (c) someone. All rights reserved.\n" + text)] == [(name, 1.0)]
+
+
 def test_neighbouring_licence_lines_are_all_found():
     """Every line of a run of whole and edited notices, against the places where they were put."""
     scanner = licenses.Scanner(licenses.TEMPLATES)
