@@ -12,12 +12,10 @@ from seqloom.llm.common import ref
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DIMS = 1 << 14
 SIZES = (3, 4, 5)
-#: The labelled table: every theme, with its kind's words before or after it, in shapes that both kinds share; the first kind is to be blocked.
-BLOCKED = ["pills", "pharma", "casino", "slots", "bets", "poker", "lotto", "adult", "xxx", "cams", "spam", "ads", "track", "loans", "torrent", "keygen", "warez", "malware", "replica", "crypto"]
-BLOCKED_NAMES = ["cheap-{}", "free-{}", "{}-farm", "{}-win", "{}-x"]
-ALLOWED = ["news", "science", "library", "history", "weather", "museum", "school", "cooking", "travel", "garden", "theater", "music", "books", "health", "college", "rothen", "ouelle", "cioneza", "einauch", "tionen"]
-ALLOWED_NAMES = ["{}", "the{}", "{}s", "open-{}", "{}-guide"]
-SHAPES = ["https://www.{}.test/en/20", "https://blog.{}.test/fr/7.html", "http://m.{}.test/de/12?ref=x", "https://{}.test/es/41/"]
+#: The labelled table: every theme in every shape; shapes say nothing about the label, and each theme has kin among the others.
+BLOCKED = ["casino", "casinos", "poker", "pokerroom", "betting", "sportsbets", "jackpot", "jackpots", "slots", "slotmachines", "roulette", "porn", "porntube", "xxx", "xxxvideos", "sexcam", "sexchat", "escort", "escorts", "nudes", "viagra", "cialis", "pills", "dietpills", "steroids", "torrent", "torrents", "warez", "keygen", "cracks", "malware", "spyware", "phishing", "spam", "spammer", "adfarm", "popupads", "payday", "paydayloans", "quickloans"]
+ALLOWED = ["news", "newspaper", "dailynews", "science", "sciences", "library", "libraries", "history", "histories", "weather", "weatherreport", "museum", "museums", "school", "schools", "university", "college", "colleges", "recipes", "cooking", "cookbook", "garden", "gardening", "music", "musicschool", "books", "bookstore", "health", "healthcare", "hospital", "travel", "travels", "theater", "research", "researchers", "journal", "journals", "archive", "archives", "community"]
+SHAPES = ["https://www.{}.test/", "https://{}.test/index.html", "http://my{}.test/about/", "https://{}24.test/articles/2020/05", "https://{}-online.test/items?id=4", "http://blog.{}.test/page/3", "https://the{}.test/search?q=a#top", "https://{}world.test/p/1/2"]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -46,18 +44,21 @@ def slots(host: str, path: str, dims: int = DIMS) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str, int]], dims: int = DIMS, steps: int = 400, rate: float = 2.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent over (host, path, label); the table is small and stays on the driver."""
-    x = np.zeros((len(rows), dims))
-    for i, (host, path, _) in enumerate(rows):
-        s = slots(host, path, dims)
-        np.add.at(x[i], s, 1.0)
+    own = [slots(host, path, dims) for host, path, _ in rows]
+    used = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)  # the others' weights stay 0
+    x = np.zeros((len(rows), len(used)))
+    for i, s in enumerate(own):
+        np.add.at(x[i], np.searchsorted(used, s), 1.0)
         x[i] /= max(1.0, np.linalg.norm(x[i]))
     y = np.array([r[2] for r in rows], float)
-    w, b = np.zeros(dims), 0.0
+    w, b = np.zeros(len(used)), 0.0
     for _ in range(steps):
         e = 1 / (1 + np.exp(-(x @ w + b))) - y
         w -= rate * (x.T @ e / len(y) + decay * w)
         b -= rate * e.mean()
-    return w, float(b)
+    whole = np.zeros(dims)
+    whole[used] = w
+    return whole, float(b)
 
 
 def plain_parts(url: str | None) -> tuple[str, str]:
@@ -71,13 +72,9 @@ def plain_parts(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), path[:end]
 
 
-def labelled() -> list[tuple[str, str, int]]:
+def labelled(themes: tuple[list[str], list[str]] = (BLOCKED, ALLOWED), shapes: list[str] = SHAPES) -> list[tuple[str, str, int]]:
     """The table (host, path, label): 1 is to be blocked."""
-    out = []
-    for y, themes, names in ((1, BLOCKED, BLOCKED_NAMES), (0, ALLOWED, ALLOWED_NAMES)):
-        for i, theme in enumerate(themes):
-            out += [(*plain_parts(SHAPES[(i + j) % len(SHAPES)].format(name.format(theme))), y) for j, name in enumerate(names)]
-    return out
+    return [(*plain_parts(shape.format(theme)), y) for y, own in zip((1, 0), themes) for theme in own for shape in shapes]
 
 
 def score_of(model: tuple[np.ndarray, float], host: str, path: str) -> float:
@@ -93,8 +90,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     verdict is the longest fitting rule's, else block where the model's score reaches the
     threshold. Rules that tie in length can't both fit. Null url or one without :// has empty
-    host and path, no rule, and the score of no n-grams. Repeated rows stay. An empty table
-    gives an empty result. The model is fitted on `table` (host, path, label) on the driver.
+    host and path, no rule, and the score of no n-grams. Very long urls are read whole. Repeated
+    rows stay. An empty table gives an empty result. Other columns are not read. The model is fitted on `table` (host, path, label) on the driver.
     """
     model = fit(labelled() if table is None else table)
 

@@ -428,8 +428,23 @@ def plain_rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def plain_score(model, host, path):
+    """The model's score by plain integers: n-grams of 3 to 5 bytes of host and of path, hashed, counted and scaled to length 1."""
+    counts = Counter()
+    for mark, part in ((1, host), (2, path)):
+        data = bytes([mark]) + part.encode() + b"\x03"
+        for n in (3, 4, 5):
+            for i in range(len(data) - n + 1):
+                h = (14695981039346656037 + 2 * n + mark) % 2**64
+                for c in data[i : i + n]:
+                    h = (h ^ c) * 1099511628211 % 2**64
+                counts[(h ^ h >> 29) % urls.DIMS] += 1
+    size = max(1.0, sum(v * v for v in counts.values()) ** 0.5)
+    return 1 / (1 + 2.718281828459045 ** -(sum(float(model[0][k]) * v for k, v in counts.items()) / size + model[1]))
+
+
 def test_url_filter(spark):
-    rows = [(k, u, "h") for k, u in enumerate(URLS)] + [(3, URLS[3], "again"), (None, None, None)]
+    rows = [(k, u, "h") for k, u in enumerate(URLS)] + [(3, URLS[3], "again"), (None, None, None), (90, "https://pokerclub.test/en/1", "a"), (91, "https://sciencemuseum.test/en/1", "a"), (92, "https://casinos.test/" + "a/" * 40_000, "long")]
     got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
     assert len(got) == len(rows)
     model = urls.fit(urls.labelled())
@@ -437,18 +452,27 @@ def test_url_filter(spark):
     for i, u, _ in rows:
         host, path = urls.plain_parts(u)
         rule, verdict = plain_rule(host, path)
-        want.append((i, host, path, rule, verdict or ("block" if urls.score_of(model, host, path) >= 0.5 else "allow")))
+        want.append((i, host, path, rule, verdict or ("block" if plain_score(model, host, path) >= 0.5 else "allow")))
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter(want)
+    assert {r.page_id: r.verdict for r in got if r.page_id in (90, 91)} == {90: "block", 91: "allow"}
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def url_accuracy(train, held):
+    model = urls.fit(train)
+    return sum((urls.score_of(model, h, p) >= 0.5) == bool(y) for h, p, y in held) / len(held)
 
 
-def test_url_model_on_held_out_rows():
-    rows = urls.labelled()
-    model = urls.fit([r for k, r in enumerate(rows) if k % 4])
-    held = rows[::4]  # one or two of each theme's rows
-    right = sum((urls.score_of(model, h, p) >= 0.5) == bool(y) for h, p, y in held)
-    assert right / len(held) >= 0.95
-    model = urls.fit(rows)
-    assert all((urls.score_of(model, h, p) >= 0.5) == bool(y) for h, p, y in rows)
+def test_url_model_on_held_out_shapes_and_themes():
+    by_shape = [url_accuracy(urls.labelled(shapes=[x for x in urls.SHAPES if x != own]), urls.labelled(shapes=[own])) for own in urls.SHAPES]
+    assert min(by_shape) >= 0.97, by_shape
+    by_theme = []
+    for k in range(5):
+        rest = tuple([x for i, x in enumerate(own) if i % 5 != k] for own in (urls.BLOCKED, urls.ALLOWED))
+        held = tuple([x for i, x in enumerate(own) if i % 5 == k] for own in (urls.BLOCKED, urls.ALLOWED))
+        by_theme.append(url_accuracy(urls.labelled(rest), urls.labelled(held)))
+    print(by_shape, by_theme)
+    assert sum(by_theme) / 5 >= 0.75, by_theme
 
 
 # -- decontamination ----------------------------------------------------------
