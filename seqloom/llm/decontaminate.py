@@ -78,30 +78,28 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Blocks:
-    """Fingerprints of items in buckets by each of their eight-bit blocks: those within the radius of a query are found in the buckets near it."""
+    """Fingerprints of items in buckets, each item in those near its value of every eight-bit block: a query's eight buckets hold all within the radius."""
 
     def __init__(self, fps: list[int], radius: int = RADIUS):
         self.fps, self.radius = np.array(fps, np.uint64), radius
-        own = self.fps.view(np.uint8).reshape(-1, 8)
-        self.members = [np.argsort(own[:, k], kind="stable") for k in range(8)]
-        self.starts = [np.searchsorted(own[m, k], np.arange(257)) for k, m in enumerate(self.members)]
         flips = np.arange(256, dtype=np.uint8)
-        self.flips = flips[np.bitwise_count(flips) <= radius // 8]
+        near = self.fps.view(np.uint8).reshape(-1, 8, 1) ^ flips[np.bitwise_count(flips) <= radius // 8]
+        buckets = (near + 256 * np.arange(8)[:, None]).reshape(len(self.fps), -1)
+        order = np.argsort(buckets, axis=None, kind="stable")
+        self.members = (order // max(1, buckets.shape[1])).astype(np.int32)
+        self.starts = np.searchsorted(buckets.ravel()[order], np.arange(8 * 256 + 1))
 
     def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs at most the radius apart, in order."""
-        q, pairs = fps.view(np.uint8).reshape(-1, 8), []
-        step = max(1, PAIRS // max(1, len(self.fps)))
+        buckets, n, pairs = fps.view(np.uint8).reshape(-1, 8) + 256 * np.arange(8), len(self.fps), []
+        step = max(1, PAIRS // max(1, n))
         for at in range(0, len(fps), step):
-            part, found = q[at : at + step], []
-            for k in range(8):
-                buckets = (part[:, k, None] ^ self.flips).ravel().astype(np.int64)
-                j, ends = take_lists(self.members[k], self.starts[k], buckets)
-                i = np.repeat(np.arange(len(buckets)) // len(self.flips), np.diff(ends))
-                ok = np.bitwise_count(fps[at + i] ^ self.fps[j]) <= self.radius
-                found.append((at + i[ok]) * len(self.fps) + j[ok])
-            pairs.append(np.unique(np.concatenate(found)))
-        return np.divmod(np.concatenate(pairs), len(self.fps)) if pairs else (np.zeros(0, np.int64),) * 2
+            part = buckets[at : at + step].ravel()
+            j, ends = take_lists(self.members, self.starts, part)
+            i = np.repeat(at + np.arange(len(part)) // 8, np.diff(ends))
+            ok = np.bitwise_count(fps[i] ^ self.fps[j]) <= self.radius
+            pairs.append(np.unique(i[ok] * n + j[ok]))
+        return np.divmod(np.concatenate(pairs), max(1, n)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
 class Items:
