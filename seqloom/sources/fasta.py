@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.errors import FormatError
@@ -69,21 +69,23 @@ def scan(spark: SparkSession, path) -> DataFrame:
 
 
 def check_start(spark: SparkSession, path) -> None:
-    """FormatError unless the first text of every file is a header and no header is empty."""
-    empty = spark.read.text(path).where(F.col("value").rlike(r"^>\s*$")).limit(1).collect()
-    if empty:
-        raise FormatError("empty FASTA header")
-    first = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), F.trim("value").alias("v"), F.col("value").alias("raw")).where("v <> ''")
-    bad = first.groupBy("f").agg(F.min_by("raw", "k").alias("raw")).where("not startswith(raw, '>')").limit(1).collect()
+    """FormatError unless the first text of every file is a header and no header is empty; one scan, a row a file and task is shuffled."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("raw")).where(F.trim("raw") != "")
+    files = lines.groupBy("f").agg(F.min_by(F.substring("raw", 1, 20), "k").alias("first"), F.bool_or(F.col("raw").rlike(r"^>\s*$")).alias("empty"))
+    bad = files.where("empty or not startswith(first, '>')").limit(1).collect()
     if bad:
-        raise FormatError(f"a record starts with >, not {bad[0].raw[:20]!r}")
+        raise FormatError("empty FASTA header" if bad[0].empty else f"a record starts with >, not {bad[0].first!r}")
+
+
+def with_places(files: DataFrame) -> DataFrame:
+    """Files with `_place`, their number in the order of paths; the paths are broadcast, not the contents."""
+    numbered = files.select("path").select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("_place"))
+    return files.join(F.broadcast(numbered), "path")
 
 
 def scan_files(spark: SparkSession, path) -> DataFrame:
     """(pos, id, description, seq) by the record iterator: one task a file, from any store that Spark reads, every rule of parse() checked."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = [r.path for r in files.select("path").orderBy("path").collect()]
-    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("path")) - 1 if names else F.lit(0).cast("long")
 
     def run(batches):
         import pandas as pd
@@ -99,7 +101,7 @@ def scan_files(spark: SparkSession, path) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=columns)
 
-    return files.select(place.alias("_place"), "content").mapInPandas(run, "pos long, id string, description string, seq string")
+    return with_places(files).select("_place", "content").mapInPandas(run, "pos long, id string, description string, seq string")
 
 
 def records(df: DataFrame) -> DataFrame:

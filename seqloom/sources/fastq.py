@@ -1,11 +1,14 @@
-"""FASTQ: strict four-line records, one task a file, and a writer. Qualities are checked and dropped."""
+"""FASTQ: strict four-line records, read by splits, and a writer. Qualities are checked and dropped."""
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -74,27 +77,121 @@ class FastqSource(DataSource):
         return _Reader(self.options)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of one split each: ((path, block, ...), lines). A split's lines come in order."""
+    for b in batches:
+        paths, blocks = b.column("path"), b.column("block").to_numpy()
+        new = pc.not_equal(paths.slice(1), paths.slice(0, max(0, len(b) - 1))).to_numpy(zero_copy_only=False) | (blocks[1:] != blocks[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                yield (paths[lo].as_py(), int(blocks[lo])), b.slice(lo, hi - lo)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each split and for each line of a record (0 to 3) that it may begin with: the line that it ends before, records begun, lines of the last one; and its first three lines."""
+    now, ends, begun, tails, head = None, [], [], [], []
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"path": now[0], "block": now[1], "ends": ends, "begun": begun, "tails": tails, "head": head}], schema=_ENDS)
+
+    for key, piece in _runs(batches):
+        if key != now:
+            if now is not None:
+                yield row()
+            now, ends, begun, tails, head = key, [0, 1, 2, 3], [0] * 4, [[] for _ in range(4)], []
+        lines, n = piece.column("value"), len(piece)
+        head = head + lines.slice(0, 3 - len(head)).to_pylist() if len(head) < 3 else head
+        blank = pc.any(pc.equal(pc.binary_length(pc.utf8_trim_whitespace(lines)), 0)).as_py()
+        text = lines.to_pylist() if blank else lines.slice(max(0, n - 3)).to_pylist()
+        for s in range(4):
+            at, tail = ends[s], tails[s]
+            if not blank:  # every line moves on by one
+                first = -at % 4
+                begun[s] += max(0, (n - first + 3) // 4)
+                at = (at + n) % 4
+                tail = (tail + text)[-at:] if at else []
+            else:
+                for x in text:
+                    if at or x.strip():
+                        begun[s] += not at
+                        tail = [*tail, x]
+                        at = (at + 1) % 4
+                        tail = tail if at else []
+            ends[s], tails[s] = at, tail
+    if now is not None:
+        yield row()
+
+
+_ENDS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("ends", pa.list_(pa.int32())), ("begun", pa.list_(pa.int64())), ("tails", pa.list_(pa.list_(pa.string()))), ("head", pa.list_(pa.string()))])
+
+
+def _placed(table: pa.Table) -> pa.Table:
+    """Of each split of a file the line that it begins with and the records begun before; and the record that ends in it, begun in an earlier one."""
+    out, at, base, held = [], 0, 0, []
+    for r in table.sort_by("block").to_pylist():
+        row = {"path": r["path"], "block": r["block"], "start": at, "base": base, "over": None}
+        if at:
+            held = held + r["head"][: 4 - at]
+            if len(held) == 4:
+                row["over"] = held
+                held = r["tails"][at]
+        else:
+            held = r["tails"][0]
+        out.append(row)
+        base += r["begun"][at]
+        at = r["ends"][at]
+    if held:
+        raise FormatError(f"{out[-1]['path']}: the last record is cut short")
+    return pa.Table.from_pylist(out, schema=_PLACED)
+
+
+_PLACED = pa.schema([("path", pa.string()), ("block", pa.int64()), ("start", pa.int32()), ("base", pa.int64()), ("over", pa.list_(pa.string()))])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that lie in one split as a whole."""
+    now, held, k, skip = None, [], 0, 0
+    for key, piece in _runs(batches):
+        if key != now:
+            now, held, skip = key, [], -piece.column("start")[0].as_py() % 4
+            k = (piece.column("_place")[0].as_py() << 33) + piece.column("base")[0].as_py()
+        lines = piece.column("value").to_pylist()
+        lines, skip = held + lines[skip:], max(0, skip - len(lines))
+        out, at = [], 0
+        while True:
+            while at < len(lines) and not lines[at].strip():
+                at += 1
+            if at + 4 > len(lines):
+                break
+            out.append((k, *next(parse(lines[at : at + 4]))))
+            at, k = at + 4, k + 1
+        held = lines[at:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.string()] * 4))], ["pos", "id", "description", "seq", "quality"])
+
+
+def _over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for place, base, lines in zip(b.column("_place").to_pylist(), b.column("base").to_pylist(), b.column("over").to_pylist()):
+            row = next(parse(lines))
+            yield pa.RecordBatch.from_arrays([pa.array([(place << 33) + base - 1], pa.int64()), *[pa.array([x], pa.string()) for x in row]], ["pos", "id", "description", "seq", "quality"])
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, id, description, seq, quality). Files come through Spark's own reader, from any store, one row a file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for place, data in pdf[["_place", "content"]].itertuples(index=False):
-                rows, k = [], 0
-                for name, about, seq, quality in parse_bytes(bytes(data)):
-                    rows.append((place * (1 << 33) + k, name, about, seq, quality))
-                    k += 1
-                    if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=["pos", "id", "description", "seq", "quality"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["pos", "id", "description", "seq", "quality"])
-
-    names = [r.path for r in files.select("path").orderBy("path").collect()]
-    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("path")) - 1 if names else F.lit(0).cast("long")
-    return files.select(place.alias("_place"), "content").mapInPandas(run, SCHEMA)
+    """(pos, id, description, seq, quality) of FASTQ files, from any store that Spark reads, a large file by splits.
+
+    A first pass finds with which of a record's four lines each split begins (for each of the
+    four it might be, composed over the splits of a file). A row a split is broadcast, some 100
+    bytes of it. The second pass reads the records inside splits; a record over an edge comes from
+    the first pass's rows, whose shuffle both users share.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    ends = text.mapInArrow(_ends, "path string, block long, ends array<int>, begun array<long>, tails array<array<string>>, head array<string>")
+    placed = ends.groupBy("path").applyInArrow(_placed, "path string, block long, start int, base long, over array<string>")
+    placed = placed.withColumn("_place", (F.dense_rank().over(Window.orderBy("path")) - 1).cast("long"))
+    inside = text.join(F.broadcast(placed.drop("over")), ["path", "block"]).mapInArrow(_whole, SCHEMA)
+    return inside.unionByName(placed.where("over IS NOT NULL").mapInArrow(_over, SCHEMA))
 
 
 def _frame(got: DataFrame, alphabet: str, quality: bool) -> RecordFrame:

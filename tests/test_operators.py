@@ -353,6 +353,30 @@ def test_fastq(spark, tmp_path):
     assert [(r.id, r.quality) for r in rows] == [("seq1", "!!@!"), ("seq2", "#")]
 
 
+def test_fastq_splits(spark, tmp_path):
+    rng = random.Random(8)
+    own = []
+    for k in range(900):
+        seq = "".join(rng.choices("ACGT", k=rng.choice([0, 1, 7, 60, 150])))
+        own.append((f"r{k}", None if k % 3 else f"about {k}", seq))
+    blank = lambda k: "\n" * (k % 7 == 0)
+    text = lambda rows, eol="\n": "".join(blank(k) + f"@{i}{' ' + d if d else ''}{eol}{s}{eol}+{eol}{'@' * len(s)}{eol}" for k, (i, d, s) in enumerate(rows))
+    put(tmp_path, text(own[:600]), "a")
+    put(tmp_path, text(own[600:], "\r\n").rstrip("\r\n") + ("\r\n" if not own[-1][2] else ""), "b")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", "1733b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = fastq.read_fastq(spark, [f"file://{tmp_path}/a", f"file://{tmp_path}/b"], "dna")
+            assert listed(got) == own, size
+            with pytest.raises(Exception, match="cut short"):
+                listed(fastq.read_fastq(spark, put(tmp_path, text(own)[:-2].rpartition("+")[0], "cut"), "dna"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_csv(spark, tmp_path):
     path = put(tmp_path, "id,seq,desc\ns1, AC GT ,first\ns2,TT,\n")
     assert tables.csv_columns(spark, path) == ["id", "seq", "desc"]
