@@ -15,13 +15,43 @@ def reverse(seq: Column) -> Column:
     return F.reverse(seq)
 
 
-def _count(seq: Column, symbol) -> Column:
-    return F.length(seq) - F.length(F.replace(seq, symbol if isinstance(symbol, Column) else F.lit(symbol), F.lit("")))
+def tally_function():
+    """A function to array<long>: how often each of the 20 occurs in either case, in METRIC_ORDER, and last all other symbols; one pass, in Arrow batches."""
+    import numpy as np
+
+    table = np.full(256, len(METRIC_ORDER), np.int64)
+    for k, a in enumerate(METRIC_ORDER):
+        table[ord(a)] = table[ord(a.lower())] = k
+
+    @F.pandas_udf("array<long>")
+    def seq_tally(seqs):
+        import pandas as pd
+
+        one = lambda s: np.bincount(table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)], minlength=len(METRIC_ORDER) + 1)
+        return pd.Series([None if s is None else one(s) for s in seqs], dtype=object)
+
+    return seq_tally
+
+
+def _tally(seq: Column) -> Column:
+    return tally_function()(seq)
 
 
 def counts(seq: Column) -> Column:
     """array<struct<symbol, count>> of the symbols that occur, in byte order, case kept."""
-    return F.transform(F.array_sort(F.array_distinct(symbols(seq))), lambda c: F.struct(c.alias("symbol"), _count(seq, c).cast("long").alias("count")))
+
+    @F.pandas_udf("array<struct<symbol: string, count: long>>")
+    def tally(seqs):
+        import numpy as np
+        import pandas as pd
+
+        def one(s):
+            codes, n = np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_counts=True)
+            return [{"symbol": chr(c), "count": k} for c, k in zip(codes.tolist(), n.tolist())]
+
+        return pd.Series([None if s is None else one(s) for s in seqs], dtype=object)
+
+    return tally(seq)
 
 
 def frequencies(seq: Column) -> Column:
@@ -29,16 +59,19 @@ def frequencies(seq: Column) -> Column:
     return F.transform(counts(seq), lambda x: F.struct(x["symbol"].alias("symbol"), (x["count"] / F.length(seq)).alias("frequency")))
 
 
+def _twenty(seq: Column, name: str, value) -> Column:
+    symbols20 = F.array(*[F.lit(a) for a in METRIC_ORDER])
+    return F.zip_with(symbols20, F.slice(_tally(seq), 1, len(METRIC_ORDER)), lambda a, c: F.struct(a.alias("symbol"), value(c).alias(name)))
+
+
 def aa_counts_20(seq: Column) -> Column:
     """array<struct<symbol, count>> of the 20 amino acids in fixed order, zeros kept, either case."""
-    s = F.upper(seq)
-    return F.array(*[F.struct(F.lit(a).alias("symbol"), _count(s, a).cast("long").alias("count")) for a in METRIC_ORDER])
+    return _twenty(seq, "count", lambda c: c)
 
 
 def aa_frequencies_20(seq: Column) -> Column:
     """aa_counts_20() over the whole length; zeros for an empty sequence."""
-    s, n = F.upper(seq), F.greatest(F.length(seq), F.lit(1))
-    return F.array(*[F.struct(F.lit(a).alias("symbol"), (_count(s, a) / n).alias("frequency")) for a in METRIC_ORDER])
+    return _twenty(seq, "frequency", lambda c: c / F.greatest(F.length(seq), F.lit(1)))
 
 
 def shannon_entropy(seq: Column) -> Column:
@@ -53,21 +86,29 @@ def _strict(seq: Column, value: Column, kind: str = "double") -> Column:
     return F.when(seq.rlike(_OTHER), F.raise_error(said).cast(kind)).otherwise(value)
 
 
-def _weighted(seq: Column, weight: dict[str, float]) -> Column:
-    s, total = F.upper(seq), F.lit(0.0)
-    for a in METRIC_ORDER:
-        total = total + _count(s, a) * F.lit(weight[a])
+def _tallied(seq: Column, value) -> Column:
+    """value(the counts of the 20), or an error that names the first symbol that is none of them."""
+    t = _tally(seq)
+    at = F.length(F.regexp_extract(seq, f"(?i)^[{PROTEIN_STRICT}]*", 0))
+    said = F.concat(F.lit("invalid residue '"), F.substring(seq, at + 1, F.lit(1)), F.lit("' at position "), at.cast("string"))
+    return F.when(t[len(METRIC_ORDER)] > 0, F.raise_error(said).cast("double")).otherwise(value(t))
+
+
+def _weighted(t: Column, weight: dict[str, float]) -> Column:
+    total = F.lit(0.0)
+    for k, a in enumerate(METRIC_ORDER):
+        total = total + t[k] * F.lit(float(weight[a]))
     return total
 
 
 def molecular_weight(seq: Column) -> Column:
     """Average mass with one water; 0 for an empty sequence, an error for other than the 20."""
-    return _strict(seq, F.when(F.length(seq) == 0, 0.0).otherwise(_weighted(seq, MASS) + WATER))
+    return _tallied(seq, lambda t: F.when(F.length(seq) == 0, 0.0).otherwise(_weighted(t, MASS) + WATER))
 
 
 def hydrophobicity(seq: Column) -> Column:
     """Mean hydropathy; 0 for an empty sequence, an error for other than the 20."""
-    return _strict(seq, F.when(F.length(seq) == 0, 0.0).otherwise(_weighted(seq, HYDROPATHY) / F.greatest(F.length(seq), F.lit(1))))
+    return _tallied(seq, lambda t: F.when(F.length(seq) == 0, 0.0).otherwise(_weighted(t, HYDROPATHY) / F.greatest(F.length(seq), F.lit(1))))
 
 
 def hydrophobicity_profile(seq: Column, window: int) -> Column:
@@ -106,21 +147,24 @@ def hydrophobicity_profile(seq: Column, window: int) -> Column:
     return run(seq)
 
 
-def _charge(seq: Column, ph: Column) -> Column:
-    s = F.upper(seq)
+def _of(t: Column, symbol: str) -> Column:
+    return t[METRIC_ORDER.index(symbol)]
+
+
+def _charge(t: Column, ph: Column) -> Column:
     basic = lambda pka: F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), ph - F.lit(pka)))
     acidic = lambda pka: F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), F.lit(pka) - ph))
     total = basic(PKA_N_TERM) - acidic(PKA_C_TERM)
     for a, pka in PKA_BASIC.items():
-        total = total + _count(s, a) * basic(pka)
+        total = total + _of(t, a) * basic(pka)
     for a, pka in PKA_ACIDIC.items():
-        total = total - _count(s, a) * acidic(pka)
+        total = total - _of(t, a) * acidic(pka)
     return total
 
 
 def net_charge(seq: Column, ph: float | Column) -> Column:
     """Henderson-Hasselbalch charge with one terminus of each kind; an error for other than the 20."""
-    return _strict(seq, _charge(seq, ph if isinstance(ph, Column) else F.lit(float(ph))))
+    return _tallied(seq, lambda t: _charge(t, ph if isinstance(ph, Column) else F.lit(float(ph))))
 
 
 def isoelectric_point(seq: Column, steps: int = 60) -> Column:
@@ -128,8 +172,8 @@ def isoelectric_point(seq: Column, steps: int = 60) -> Column:
 
     The seven counts are taken once; a fold halves the interval.
     """
-    s = F.upper(seq)
-    groups = F.array(*[F.struct(_count(s, a).alias("n"), F.lit(pka).alias("pka"), F.lit(sign).alias("sign")) for sign, own in ((1, PKA_BASIC), (-1, PKA_ACIDIC)) for a, pka in own.items()], F.struct(F.lit(1).alias("n"), F.lit(PKA_N_TERM).alias("pka"), F.lit(1).alias("sign")), F.struct(F.lit(1).alias("n"), F.lit(PKA_C_TERM).alias("pka"), F.lit(-1).alias("sign")))
+    t = _tally(seq)
+    groups = F.array(*[F.struct(_of(t, a).alias("n"), F.lit(pka).alias("pka"), F.lit(sign).alias("sign")) for sign, own in ((1, PKA_BASIC), (-1, PKA_ACIDIC)) for a, pka in own.items()], F.struct(F.lit(1).cast("long").alias("n"), F.lit(PKA_N_TERM).alias("pka"), F.lit(1).alias("sign")), F.struct(F.lit(1).cast("long").alias("n"), F.lit(PKA_C_TERM).alias("pka"), F.lit(-1).alias("sign")))
 
     def halve(z: Column, _: Column) -> Column:
         mid = (z["lo"] + z["hi"]) / 2
@@ -138,7 +182,7 @@ def isoelectric_point(seq: Column, steps: int = 60) -> Column:
         return F.struct(F.when(up, mid).otherwise(z["lo"]).alias("lo"), F.when(up, z["hi"]).otherwise(mid).alias("hi"), z["groups"].alias("groups"))
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"), groups.alias("groups"))
-    return _strict(seq, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda z: (z["lo"] + z["hi"]) / 2))
+    return _tallied(seq, lambda _: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda z: (z["lo"] + z["hi"]) / 2))
 
 
 def has_ambiguous(seq: Column) -> Column:

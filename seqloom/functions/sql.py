@@ -53,7 +53,9 @@ def register(spark: SparkSession) -> list[str]:
     """Make the functions known to spark.sql() of this session; their names.
 
     A body is the analysed expression as SQL, so a call is inlined and optimised like any expression.
+    Bodies name the one Arrow function that they need, seq_tally, which is registered first.
     """
+    spark.udf.register("seq_tally", protein.tally_function())
     for name, kind, more, f in FUNCTIONS:
         given = [p.split() for p in more.split(", ")] if more else []
         row = spark.range(1).selectExpr("'' AS seq", *[f"CAST(NULL AS {t}) AS {p}" for p, t in given])
