@@ -62,7 +62,7 @@ BLOSUM62 = """
 """
 MATRICES = {"EDNAFULL": EDNAFULL, "BLOSUM62": BLOSUM62}
 RESULT = "struct<score: float, query_start: int, query_end: int, target_start: int, target_end: int, cigar: array<struct<op: string, len: int>>>"
-#: Cells filled at once: with traceback a byte each, without it a diagonal of floats for each pair.
+#: Cells filled at once: with traceback a byte each, without it a diagonal of floats for each pair. A larger pair is traced piece by piece.
 CELLS = 1 << 24
 NONE = np.float32(-np.inf)
 
@@ -158,10 +158,12 @@ def encode(seq: str, kind: str) -> np.ndarray:
     return codes
 
 
-def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring: Scoring, local: bool, traceback: bool):
+def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring: Scoring, local: bool, traceback: bool, first: int = 1, last: int | None = None, buffers: tuple | None = None, every: int = 0, saved: dict | None = None):
     """Scores, ends and trace bytes of a block of pairs; neither side is empty.
 
     Diagonal d holds cells (i, d - i), i from 0 on; buffers of three diagonals are used in turn.
+    Filling may go on from the buffers of diagonal first - 1, end with a last one, and save
+    its buffers after each `every` diagonals; the trace is that of diagonals first to last.
     """
     size = len(qs)
     ms, ns = np.array([len(q) for q in qs]), np.array([len(t) for t in ts])
@@ -181,43 +183,49 @@ def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring
     eo, ee = (np.float32(x) for x in scoring.ends())
     special = not local and (eo, ee) != (go, ge)
     masked = go == 0 or ge == 0  # free gaps could carry a best score into the padding
-    trace = np.zeros((size, n + m + 1, n + 1), np.uint8) if traceback else None  # by diagonal and row: 1 D, 2 I, 3 stop; 4 D extends, 8 I extends
-    hs, es, fs = (np.full((3, size, n + 1), NONE, np.float32) for _ in range(3))
-    hs[0, :, 0] = 0  # diagonal 0
+    last = n + m if last is None else last
+    trace = np.zeros((size, last - first + 1, n + 1), np.uint8) if traceback else None  # by diagonal and row: 1 D, 2 I, 3 stop; 4 D extends, 8 I extends
+    if buffers is None:
+        hs, es, fs = (np.full((3, size, n + 1), NONE, np.float32) for _ in range(3))
+        hs[0, :, 0] = 0  # diagonal 0
+    else:
+        hs, es, fs = (x.copy() for x in buffers)
+    everyone = np.arange(size)
     best, best_i, best_j = np.zeros(size, np.float32), np.zeros(size, np.int64), np.zeros(size, np.int64)
     final = np.zeros(size, np.float32)
     ending: dict[int, list[int]] = {}
     for k, d in enumerate((ns + ms).tolist()):
         ending.setdefault(d, []).append(k)
-    for d in range(1, n + m + 1):
+    for d in range(first, last + 1):
         h, e, f = hs[d % 3], es[d % 3], fs[d % 3]
         h1, e1, f1, h2 = hs[(d - 1) % 3], es[(d - 1) % 3], fs[(d - 1) % 3], hs[(d - 2) % 3]
         lo, hi = max(1, d - m), min(n, d - 1)  # rows with an inner cell
         if lo <= hi:
             at = slice(lo, hi + 1)
             up = slice(lo - 1, hi)
-            do, de, io, ie = go, ge, go, ge
-            if special:
-                rows = np.arange(lo, hi + 1)
-                last_col, last_row = (d - rows)[None] == ms[:, None], rows[None] == ns[:, None]
-                do, de = np.where(last_col, eo, go), np.where(last_col, ee, ge)
-                io, ie = np.where(last_row, eo, go), np.where(last_row, ee, ge)
-            e_open, e_ext = h1[:, up] + do, e1[:, up] + de
-            f_open, f_ext = h1[:, at] + io, f1[:, at] + ie
+            e_open, e_ext = h1[:, up] + go, e1[:, up] + ge
+            f_open, f_ext = h1[:, at] + go, f1[:, at] + ge
+            if special:  # one cell of a pair at most is in its last column, one in its last row
+                i = d - ms
+                own = everyone[(i >= lo) & (i <= hi)]
+                e_open[own, i[own] - lo] = h1[own, i[own] - 1] + eo
+                e_ext[own, i[own] - lo] = e1[own, i[own] - 1] + ee
+                own = everyone[(ns >= lo) & (ns <= hi)]
+                f_open[own, ns[own] - lo] = h1[own, ns[own]] + eo
+                f_ext[own, ns[own] - lo] = f1[own, ns[own]] + ee
             top = flat[t[:, up] + q[:, m - d + lo : m - d + hi + 1]]
             top += h2[:, up]
             if traceback:
                 bits = (e_ext > e_open).view(np.uint8) << 2 | (f_ext > f_open).view(np.uint8) << 3
             deletion, insertion = np.maximum(e_open, e_ext, out=e[:, at]), np.maximum(f_open, f_ext, out=f[:, at])
             if traceback:
-                bits |= deletion > top
+                move = (deletion > top).view(np.uint8)
                 np.maximum(top, deletion, out=top)
-                less = insertion > top
-                bits[less] = bits[less] & 12 | 2
+                np.maximum(move, (insertion > top).view(np.uint8) << 1, out=move)
                 np.maximum(top, insertion, out=top)
                 if local:
-                    bits[top < 0] |= 3
-                trace[:, d, at] = bits
+                    np.maximum(move, (top < 0).view(np.uint8) * np.uint8(3), out=move)
+                np.bitwise_or(bits, move, out=trace[:, d - first, at])
             else:
                 np.maximum(top, deletion, out=top)
                 np.maximum(top, insertion, out=top)
@@ -247,13 +255,36 @@ def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring
         if not local and d in ending:
             done = np.array(ending[d])
             final[done] = h[done, ns[done]]
+        if every and d % every == 0:
+            saved[d] = (hs.copy(), es.copy(), fs.copy())
     if local:
         return best, best_i, best_j, trace
     return final, ns, ms, trace
 
 
-def _walk(trace: np.ndarray, i: int, j: int, local: bool) -> tuple[list[tuple[str, int]], int, int]:
-    """Operations from the start to (i, j), and where they start."""
+def _long_pair(q: np.ndarray, t: np.ndarray, table: np.ndarray, scoring: Scoring, local: bool):
+    """Score, end and trace cells of one pair too large for a whole trace.
+
+    A first filling saves the buffers of some diagonals; the walk back fills the trace
+    again between two of them at a time. Memory grows with the length to the power 1.5.
+    """
+    every = max(1, int((36 * (len(q) + len(t))) ** 0.5))  # saved buffers and a piece of trace are as large
+    saved: dict[int, tuple] = {}
+    score, i, j, _ = _fill([q], [t], table, scoring, local, False, every=every, saved=saved)
+    held: list = [None, None]
+
+    def cell(i: int, j: int) -> int:
+        piece = (i + j - 1) // every
+        if held[0] != piece:
+            first = piece * every + 1
+            held[:] = piece, _fill([q], [t], table, scoring, local, True, first, min(first + every - 1, len(q) + len(t)), saved.get(first - 1))[3][0]
+        return int(held[1][i + j - 1 - piece * every, i])
+
+    return score, i, j, cell
+
+
+def _walk(cell, i: int, j: int, local: bool) -> tuple[list[tuple[str, int]], int, int]:
+    """Operations from the start to (i, j), and where they start; cell(i, j) is a trace byte."""
     ops: list[list] = []
 
     def push(op: str, k: int) -> None:
@@ -269,7 +300,7 @@ def _walk(trace: np.ndarray, i: int, j: int, local: bool) -> tuple[list[tuple[st
                 push("I" if i == 0 else "D", i + j)
                 i = j = 0
             break
-        b = int(trace[i + j, i])
+        b = cell(i, j)
         if state == 0:
             kind = b & 3
             if kind == 3:
@@ -321,14 +352,20 @@ def align_batch(queries: list[str], targets: list[str], scoring: Scoring, kind:
             m, n, end = m2, n2, end + 1
         part = todo[at:end]
         at = end
-        score, i, j, trace = _fill([x[2] for x in part], [x[3] for x in part], table, scoring, local, traceback)
+        if traceback and (n + 1) * (m + n) > CELLS:  # one pair
+            score, i, j, cell = _long_pair(part[0][2], part[0][3], table, scoring, local)
+        else:
+            score, i, j, trace = _fill([x[2] for x in part], [x[3] for x in part], table, scoring, local, traceback)
         for x, (_, k, q, t) in enumerate(part):
+            if traceback and (n + 1) * (m + n) <= CELLS:
+                own = trace[x]
+                cell = lambda i, j, own=own: int(own[i + j - 1, i])
             if local and score[x] <= 0:
                 out[k] = _empty(0, 0, scoring, True, traceback)
                 continue
             got = {"score": float(score[x]), "query_start": None if local else 0, "query_end": int(j[x]) - 1, "target_start": None if local else 0, "target_end": int(i[x]) - 1, "cigar": None}
             if traceback:
-                got["cigar"], i0, j0 = _walk(trace[x], int(i[x]), int(j[x]), local)
+                got["cigar"], i0, j0 = _walk(cell, int(i[x]), int(j[x]), local)
                 if local:
                     got["query_start"], got["target_start"] = j0, i0
             out[k] = got

@@ -143,6 +143,22 @@ def test_alignments_against_plain_tables(local, kind, monkeypatch):
                 assert sum(k for o, k in r["cigar"] if o in "MD") == r["target_end"] - r["target_start"] + 1
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_pairs_too_large_for_a_whole_trace(local, monkeypatch):
+    rng = random.Random(40)
+    pairs = []
+    for _ in range(25):
+        a = "".join(rng.choices("ACGT", k=rng.randrange(1, 160)))
+        b = "".join(x for x in a if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=rng.randrange(30)))
+        pairs.append((a, b or "A"))
+    for scoring in SCORINGS:
+        want = [align_batch([a], [b], scoring, "dna", local, True)[0] for a, b in pairs]
+        monkeypatch.setattr(align, "CELLS", 50)
+        assert [align_batch([a], [b], scoring, "dna", local, True)[0] for a, b in pairs] == want
+        assert align_batch(*zip(*pairs), scoring, "dna", local, True) == want
+        monkeypatch.undo()
+
+
 def test_alignment_columns(spark):
     df = spark.createDataFrame([("ACGT", "ACT"), ("ACGT", None)], "query string, target string")
     got = align.align_pairs(df, local=False, traceback=True, scoring=Scoring(2, -1, -1, -1))
