@@ -158,6 +158,16 @@ def encode(seq: str, kind: str) -> np.ndarray:
     return codes
 
 
+def _two_scores(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray) -> tuple[float, float] | None:
+    """(score of equal symbols, of unequal ones), if the symbols that occur have no more than these."""
+    there = np.zeros(len(table), bool)
+    for x in (*qs, *ts):
+        there[x] = True
+    own = table[np.ix_(there, there)]
+    equal, unequal = np.unique(np.diag(own)), np.unique(own[~np.eye(len(own), dtype=bool)])
+    return (float(equal[0]), float(unequal[0]) if len(unequal) else float(equal[0])) if len(equal) == 1 and len(unequal) <= 1 else None
+
+
 def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring: Scoring, local: bool, traceback: bool, first: int = 1, last: int | None = None, buffers: tuple | None = None, every: int = 0, saved: dict | None = None):
     """Scores, ends and trace bytes of a block of pairs; neither side is empty.
 
@@ -169,20 +179,25 @@ def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring
     ms, ns = np.array([len(q) for q in qs]), np.array([len(t) for t in ts])
     m, n = int(ms.max()), int(ns.max())
     width = len(table)
-    # padding symbols score so low that no best cell lies among them
-    wide = np.full((width + 1, width + 1), -1e9, np.float32)
-    wide[:width, :width] = table
-    flat = wide.ravel()
-    q, t = np.full((size, m), width, np.int32), np.full((size, n), width, np.int32)
+    two = _two_scores(qs, ts, table)
+    kind = np.int32 if two is None else np.uint8
+    q, t = np.full((size, m), width, kind), np.full((size, n), width + (two is not None), kind)
     for k in range(size):
         q[k, : ms[k]] = qs[k]
         t[k, : ns[k]] = ts[k]
-    t *= width + 1
+    if two is None:
+        # padding symbols score so low that no best cell lies among them
+        wide = np.full((width + 1, width + 1), -1e9, np.float32)
+        wide[:width, :width] = table
+        flat = wide.ravel()
+        t *= width + 1
+    else:  # padding is unequal to all
+        equal, unequal = (np.float32(x) for x in two)
     q = np.ascontiguousarray(q[:, ::-1])  # a diagonal is then a run of both
     go, ge = np.float32(scoring.gap_open), np.float32(scoring.gap_extend)
     eo, ee = (np.float32(x) for x in scoring.ends())
     special = not local and (eo, ee) != (go, ge)
-    masked = go == 0 or ge == 0  # free gaps could carry a best score into the padding
+    masked = go == 0 or ge == 0 or two is not None and two[1] >= 0  # free steps could carry a best score into the padding
     last = n + m if last is None else last
     trace = np.zeros((size, last - first + 1, n + 1), np.uint8) if traceback else None  # by diagonal and row: 1 D, 2 I, 3 stop; 4 D extends, 8 I extends
     if buffers is None:
@@ -213,7 +228,12 @@ def _fill(qs: list[np.ndarray], ts: list[np.ndarray], table: np.ndarray, scoring
                 own = everyone[(ns >= lo) & (ns <= hi)]
                 f_open[own, ns[own] - lo] = h1[own, ns[own]] + eo
                 f_ext[own, ns[own] - lo] = f1[own, ns[own]] + ee
-            top = flat[t[:, up] + q[:, m - d + lo : m - d + hi + 1]]
+            if two is None:
+                top = flat[t[:, up] + q[:, m - d + lo : m - d + hi + 1]]
+            else:
+                top = (t[:, up] == q[:, m - d + lo : m - d + hi + 1]).astype(np.float32)
+                top *= equal - unequal
+                top += unequal
             top += h2[:, up]
             if traceback:
                 bits = (e_ext > e_open).view(np.uint8) << 2 | (f_ext > f_open).view(np.uint8) << 3
