@@ -42,8 +42,13 @@ def aligned(seqs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or in a local one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "seqloom-shared")
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset in a local one in local mode, an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "seqloom-shared")
     return f"{top.rstrip('/')}/seqloom-{name}-{uuid.uuid4().hex}"
 
 
