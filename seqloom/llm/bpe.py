@@ -12,6 +12,7 @@ import json
 import mmap
 import struct
 import tempfile
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -186,8 +187,9 @@ class Vocabulary:
 class Transducer:
     """A minimal acyclic automaton over bytes; a word's number is the count of words before it on its path, its output that entry of the id table.
 
-    Image: header, then for each state its first arc and the words below it before each
-    arc, then the arcs (byte, target), then the outputs. All arrays are read in place.
+    Image: header, the arcs' keys (state and byte in one 8-byte number, ascending), for each
+    state its first arc and whether a word ends there, for each arc its target and the words
+    that it passes over, then the outputs. All arrays are read in place.
     """
 
     HEAD = "<4q"
@@ -224,31 +226,33 @@ class Transducer:
             path[-1][1].append((last[len(path) - 1], s))
         root = close(path[0])
         below = [0] * len(states)  # words from each state on; arcs lead to states made before
-        first, label, target, skipped, final = [0], [], [], [], []
+        first, key, target, skipped, final = [0], [], [], [], []
         for i, (end, arcs) in enumerate(states):
             n = int(end)
             for byte, to in arcs:
-                label.append(byte)
+                key.append(i << 8 | byte)
                 target.append(to)
                 skipped.append(n)
                 n += below[to]
             below[i] = n
-            first.append(len(label))
+            first.append(len(key))
             final.append(end)
         starts = np.concatenate(([0], np.cumsum([len(ids) for _, ids in entries]))).astype("<i4") if entries else np.zeros(1, "<i4")
         ids = np.array([i for _, own in entries for i in own], "<i4")
-        parts = [np.array(first, "<i4"), np.array(final, "<i4"), np.array(label, "<i4"), np.array(target, "<i4"), np.array(skipped, "<i4"), starts, ids]
-        return struct.pack(cls.HEAD, len(states), len(label), len(entries), root) + b"".join(p.tobytes() for p in parts)
+        parts = [np.array(key, "<i8"), np.array(first, "<i4"), np.array(final, "<i4"), np.array(target, "<i4"), np.array(skipped, "<i4"), starts, ids]
+        return struct.pack(cls.HEAD, len(states), len(key), len(entries), root) + b"".join(p.tobytes() for p in parts)
 
     def __init__(self, image):
         view = memoryview(image)
         at = struct.calcsize(self.HEAD)
         n, m, w, self.root = struct.unpack(self.HEAD, view[:at])
-        sizes, arrays = [n + 1, n, m, m, m, w + 1], []
+        self.key = view[at : at + 8 * m].cast("q")
+        at += 8 * m
+        sizes, arrays = [n + 1, n, m, m, w + 1], []
         for k in sizes:
             arrays.append(view[at : at + 4 * k].cast("i"))
             at += 4 * k
-        self.first, self.final, self.label, self.target, self.skipped, self.starts = arrays
+        self.first, self.final, self.target, self.skipped, self.starts = arrays
         self.ids = view[at:].cast("i")
 
     @classmethod
@@ -261,26 +265,18 @@ class Transducer:
 
     def find(self, word: bytes) -> list[int] | None:
         s, number = self.root, 0
-        first, label = self.first, self.label
         for byte in word:
-            lo, hi = first[s], first[s + 1]
-            while lo < hi:  # arcs are in byte order
-                mid = (lo + hi) // 2
-                if label[mid] < byte:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[s + 1] or label[lo] != byte:
+            end = self.first[s + 1]
+            arc = bisect_left(self.key, s << 8 | byte, self.first[s], end)
+            if arc == end or self.key[arc] != s << 8 | byte:
                 return None
-            number += self.skipped[lo]
-            s = self.target[lo]
+            number += self.skipped[arc]
+            s = self.target[arc]
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist() if self.final[s] else None
 
-
     def find_many(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Numbers of many words at once, -1 for those that it lacks: a step follows the next byte of every word still on a path."""
-        first, final, label, target, skipped = (np.asarray(x) for x in (self.first, self.final, self.label, self.target, self.skipped))
-        arcs = np.repeat(np.arange(len(final), dtype=np.int64), np.diff(first)) << 8 | label
+        arcs, final, target, skipped = (np.asarray(x) for x in (self.key, self.final, self.target, self.skipped))
         n = len(offsets) - 1
         out = np.full(n, -1, np.int64)
         live, at, state, number = np.arange(n), offsets[:-1].copy(), np.full(n, self.root, np.int64), np.zeros(n, np.int64)
