@@ -60,9 +60,12 @@ def normalize(seq: Column) -> Column:
 
 
 def detect_kind(sample: Column) -> Column:
-    """'protein' if a letter is in no nucleotide's strict set, else 'rna' for U without T, else 'dna'."""
-    s = F.upper(sample)
-    return F.when(s.rlike(f"[{PROTEIN_ONLY}]"), "protein").when(F.contains(s, F.lit("U")) & ~F.contains(s, F.lit("T")), "rna").otherwise("dna")
+    """'protein' if a letter is in no nucleotide's strict set, else 'rna' for U without T, else 'dna'.
+
+    Either case counts, code point by code point: ß is no S, though F.upper() makes it SS; ı and ſ are lower cases of I and S.
+    """
+    other = sample.rlike(f"[{both_cases(PROTEIN_ONLY)}ıſ]")
+    return F.when(other, "protein").when(sample.rlike("[Uu]") & ~sample.rlike("[Tt]"), "rna").otherwise("dna")
 
 
 # -- windows ------------------------------------------------------------------

@@ -47,3 +47,18 @@ def test_sql_agrees(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_detect_counts_letters_by_code_point(spark, tmp_path):
+    """Upper cases of several letters (ß, ﬁ, ẗ) count as none of them, as in the SQL."""
+    import duckdb
+
+    cased = [c for c in map(chr, range(0x110000)) if c.upper() != c]
+    texts = [None, "", *(c + end for c in cased for end in ("", "T", "u")), "Öß.", "zuß", "ungß", "tzßu"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    got = {r.doc_id: r.kind for r in plans.QUERIES["io9_detect"](spark, str(tmp_path)).collect()}
+    want = dict(con.execute(plans.SQL["io9_detect"]).fetchall())
+    assert len(got) == len(texts) and [(texts[k], got[k], v) for k, v in want.items() if got[k] != v] == []
