@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, quality, repeats, shingles, simhash
-from seqloom.llm.common import fresh, ref, stage
+from seqloom.llm.common import FILE_TEXTS, few, fresh, ref, stage
 from seqloom.llm.vocabularies import vocabulary
 
 
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows alike in doc_id and text one stays; of rows with null ids only, any one. Texts without words are one group.
     """
-    return simhash.keep_one(docs, groups=shingles.similar_texts)
+    return few(simhash.keep_one(docs, groups=shingles.similar_texts), docs.count(), FILE_TEXTS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a written file, about, where a bound on their number is known: of numbers, and of texts.
+FILE_ROWS, FILE_TEXTS = 1 << 14, 1 << 11
+
+
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df in no more partitions than so many rows need and than keep all cores busy. rows: a bound on what it has, and on what its last step reads.
+
+    Spark merges small partitions only where adaptive coalescing is on. Without Hadoop's native library a file on a
+    local path costs two child processes (chmod of it and of its checksums); until it runs its own program, such a
+    child shares all of the executor's memory, and a watcher that adds up processes counts that twice.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, 1 + rows // each))
+
+
 #: Text that a worker encodes at once, longer rows aside.
 BATCH_BYTES = 16 << 20
 
@@ -88,17 +102,17 @@ def text_of(name: str) -> Column:
 EDGES = 1 << 16
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 64, nodes: int | None = None) -> DataFrame:
     """Connected components of (u, v) long edges by alternating large-star and small-star steps.
 
     Returns (node, root) for every node of an edge, root being the smallest node of
     its component. Each round shuffles the edges only and is written to the shared
     folder; hot nodes are pre-aggregated by min() and joined, never gathered.
-    No edges: an empty result. Null nodes are dropped.
+    No edges: an empty result. Null nodes are dropped. nodes: how many there are at most, if known.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = stage(e, "edges")
-    few = max(1, e.count() // EDGES)  # a round has no more edges than the one before
+    e = stage(e if nodes is None else few(e, nodes), "edges")
+    parts = max(1, e.count() // EDGES)  # a round has no more edges than the one before
     mark = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -106,7 +120,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = stage(small.coalesce(few), "edges")
+        e = stage(small.coalesce(parts), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm.common import ref, stage
+from seqloom.llm.common import FILE_TEXTS, few, ref, stage
 
 GRAM = 100
 #: Of word codes: 15 words.
@@ -49,6 +49,8 @@ CHUNK = 1 << 18
 SLICE = 256
 #: Segments that a worker holds at once, about.
 ROWS = 1 << 16
+#: Anchors in a written file, about, counted by the segments that have them.
+ANCHORS = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -401,29 +403,32 @@ def _windows(kinds: Kinds):
     return run
 
 
-def repeat_spans(keyed: DataFrame, kinds: Kinds) -> DataFrame:
-    """(key, lo, hi, of_words): window starts lo..hi of the text of this key that also start elsewhere, in bytes of the text or of its word codes. keyed: (doc_id, key, text), key standing for the text."""
+def repeat_spans(keyed: DataFrame, rows: int, kinds: Kinds) -> DataFrame:
+    """(key, lo, hi, of_words): window starts lo..hi of the text of this key that also start elsewhere, in bytes of the text or of its word codes. keyed: so many rows of (doc_id, key, text), key standing for the text."""
     # a code stands for a letter and a space at least
     shortest = min([kinds[0][0], *(n // 2 - 1 for n, _ in kinds[1:])])
     segments = stage(keyed.where(F.octet_length("text") >= shortest).mapInArrow(_segments(kinds), SEGMENTS), "segments")
     anchors = segments.groupBy("h").agg(F.sum("n").alias("total"), (F.min("dig") != F.max("dig")).alias("many"))
     # written first: a join straight on the sums could not split a hot anchor's segments
-    anchors = stage(anchors.where("total > 1").select("h", "many"), "anchors")
+    anchors = stage(few(anchors.where("total > 1").select("h", "many"), segments.count(), ANCHORS), "anchors")
     seen = stage(segments.join(anchors, "h"), "repeated-anchors")
+    n = seen.count()  # none of the tables below has more rows, but for windows
     of_words = (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("of_words")
     alike = seen.where("not many").select("key", "lo", F.col("end").alias("hi"), of_words)
 
     mixed = seen.where("many")
-    distinct = stage(mixed.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi", "at")).alias("r")).select("h", "dig", "n", "r.*"), "distinct-segments")
+    distinct = mixed.groupBy("h", "dig").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "lo", "hi", "at")).alias("r")).select("h", "dig", "n", "r.*")
+    distinct = stage(few(distinct, n), "distinct-segments")
     # joins with hot keys are written one by one: in a union Spark would not split them
-    full = stage(mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", F.col("end").alias("hi"), of_words), "equal-segments")
+    full = mixed.join(distinct.where("n > 1").select("h", "dig"), ["h", "dig"], "left_semi").select("key", "lo", F.col("end").alias("hi"), of_words)
+    full = stage(few(full, n), "equal-segments")
 
     sizes = distinct.groupBy("h").agg(F.count("*").alias("many"))
-    sizes = stage(sizes, "anchor-sizes")
+    sizes = stage(few(sizes, n), "anchor-sizes")
     wanted = distinct.join(sizes, "h").groupBy("key", "doc_id").agg(F.collect_list(F.struct("h", "dig", "n", "lo", "hi", "at", "many")).alias("parts"))
-    wanted = stage(wanted.withColumnRenamed("doc_id", "by"), "wanted-segments")
+    wanted = stage(few(wanted.withColumnRenamed("doc_id", "by"), n), "wanted-segments")
     cut = keyed.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("by"))).select("key", "text", "parts")
-    cut = stage(cut.mapInArrow(_bytes_of(kinds), PARTS), "segment-bytes")
+    cut = stage(few(cut, max(rows, n), FILE_TEXTS).mapInArrow(_bytes_of(kinds), PARTS), "segment-bytes")
     near = cut.where(F.col("many") <= GROUP).select("h", "dig", "n", "key", "lo", "at", "seg").repartition("h").sortWithinPartitions("h")
     compared = near.mapInArrow(_compare(kinds), "key binary, lo int, hi int, of_words boolean")
 
@@ -496,9 +501,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     row = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), ref(id_col).cast("long").alias("doc_id"), F.coalesce(ref(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     kinds = [(length, GRAM)] + ([(WORD * words, WORD_GRAM)] if words else [])
-    spans = repeat_spans(keyed.select("doc_id", "key", "text"), kinds)
-    spans = stage(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("spans")), "spans")
-    joined = keyed.join(spans, "key", "left").select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = keyed.count()
+    spans = repeat_spans(keyed.select("doc_id", "key", "text"), rows, kinds)
+    spans = stage(few(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "of_words")).alias("spans")), rows, FILE_TEXTS), "spans")
+    joined = few(keyed.join(spans, "key", "left"), rows, FILE_TEXTS).select("row", "text", "spans", F.octet_length("text").cast("long").alias("n_bytes"))
     runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kind = T.StructType([keyed.schema["row"], joined.schema["n_bytes"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("removed", runs), T.StructField("passages", runs)])
     out = joined.mapInArrow(_cut(length, words or 0, cut_passages, as_text), kind)

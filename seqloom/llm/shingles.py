@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import by_bytes, components, ref, stage, take_lists, text_of
+from seqloom.llm.common import FILE_TEXTS, by_bytes, components, few, ref, stage, take_lists, text_of
 from seqloom.llm.decontaminate import shingle_codes
 from seqloom.llm.simhash import Links, near_links
 
@@ -136,15 +136,15 @@ def _block(least: float):
     return star
 
 
-def exact_links(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(u, v) edges that join all sets of a group (near: its least sh) with a Jaccard similarity of at least `least`. sets: (sh, near, codes: distinct codes in order)."""
+def exact_links(sets: DataFrame, n: int, least: float = SIMILAR) -> DataFrame:
+    """(u, v) edges that join all sets of a group (near: its least sh) with a Jaccard similarity of at least `least`. sets: n rows at most of (sh, near, codes: distinct codes in order)."""
     leaders = sets.where("sh = near").select("near", F.col("codes").alias("lead"))
     both = F.size(F.array_intersect("codes", "lead"))
     judged = sets.where("sh <> near").join(leaders, "near").select("sh", "near", "codes", (both >= least * (F.size("codes") + F.size("lead") - both)).alias("alike"))
-    judged = stage(judged, "judged")
+    judged = stage(few(judged, n, FILE_TEXTS // 2), "judged")
     # sets that aren't alike with the leader ask all others of the group, in blocks
     sizes = judged.groupBy("near").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("asking")).where("asking > 0")
-    sizes = stage(sizes.select("near", F.expr(f"1 + asking div {REST}").cast("int").alias("rest"), F.expr(f"1 + n div {OTHERS}").cast("int").alias("others")), "asking")
+    sizes = stage(few(sizes.select("near", F.expr(f"1 + asking div {REST}").cast("int").alias("rest"), F.expr(f"1 + n div {OTHERS}").cast("int").alias("others")), n), "asking")
     group = judged.join(sizes, "near")
     part = lambda n, seed: F.pmod(F.xxhash64("sh", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -170,14 +170,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     fps = [f"f{k}" for k in range(WORDS)]
     keyed = stage(slim.mapInArrow(_sketches(width, least), f"doc_id long, th long, sh long, kind int, up boolean, {', '.join(f'{f} long' for f in fps)}"), "keyed")
-    distinct = stage(keyed.groupBy("sh").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), *[F.min(c).alias(c) for c in ("kind", "up", *fps)]), "sets")
-    near = components(near_links(distinct, tuple(fps), "sh", RADIUS, BLOCK_RADIUS, BLOCKS, CHECKED, "kind", "up", shard=SHARD)).select(F.col("node").alias("sh"), F.col("root").alias("near"))
+    distinct = keyed.groupBy("sh").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), *[F.min(c).alias(c) for c in ("kind", "up", *fps)])
+    rows = keyed.count()
+    distinct = stage(few(distinct, rows), "sets")
+    n = distinct.count()
+    near = components(near_links(distinct, tuple(fps), "sh", RADIUS, BLOCK_RADIUS, BLOCKS, CHECKED, "kind", "up", shard=SHARD), nodes=n).select(F.col("node").alias("sh"), F.col("root").alias("near"))
     wanted = stage(distinct.join(near, "sh").select("sh", "near", "th"), "wanted")
-    texts = slim.join(wanted, "th").dropDuplicates(["th", "sh"]).select("sh", "near", "text")
+    some = wanted.count()
+    # by all rows: the join reads every text
+    texts = few(slim.join(wanted, "th").dropDuplicates(["th", "sh"]).select("sh", "near", "text"), rows, FILE_TEXTS)
     sets = stage(texts.mapInArrow(_sets(width), "sh long, near long, codes array<long>"), "codes")
-    groups = components(exact_links(sets, least)).withColumnRenamed("node", "sh")
+    groups = components(exact_links(sets, some, least), nodes=some).withColumnRenamed("node", "sh")
     rooted = stage(distinct.join(groups, "sh", "left").select("sh", "first", F.coalesce("root", "sh").alias("root")), "rooted")
     # written first: a join straight on the sums could not split a hot root
-    firsts = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    firsts = stage(few(rooted.groupBy("root").agg(F.min("first").alias("component_id")), n), "least")
     of_set = rooted.join(firsts, "root").select("sh", "root", "component_id")
     return keyed.select("doc_id", "th", "sh").join(of_set, "sh").select("doc_id", "th", "root", "component_id")

@@ -146,6 +146,31 @@ def test_near_dedup_stage_is_brute_force_jaccard(spark):
     assert shingles.similar_texts(docs_of(spark, [])).count() == 0
 
 
+def test_stages_write_few_files(spark, tmp_path, monkeypatch):
+    """A file costs the executor two child processes: small tables go to few, also where Spark merges no partitions."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [words(rng, 90) for _ in range(200)]
+    docs = docs_of(spark, [(i, base[i % 200] + " " + words(rng, 2 + i % 7)) for i in range(600)]).coalesce(1)
+    paths = []
+    monkeypatch.setattr("seqloom.llm.common.new_path", lambda _, name: paths.append(f"{tmp_path}/{len(paths)}-{name}") or paths[-1])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for f, n in ((corpus_pipeline.near_dedup, 200), (corpus_pipeline.passage_dedup, 600)):
+            f(spark, docs, "").write.parquet(f"{tmp_path}/out-{n}")
+            assert spark.read.parquet(f"{tmp_path}/out-{n}").count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = {d.name: len([*d.glob("part-*")]) for d in tmp_path.iterdir()}
+    assert {"sets", "judged", "least", "anchors", "spans", "200", "600"} <= {name.partition("-")[2] for name in files}
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+
+
 # -- sharding -----------------------------------------------------------------
 
 
